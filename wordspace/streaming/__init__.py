@@ -1,0 +1,8 @@
+"""Intentionally empty.
+
+The word-embedding jobs this library re-expresses read a finished corpus and
+have no stream API, watermark, or stateful operator; the only queue in that
+design is an internal hand-off between threads, which Spark's scheduler
+replaces. Nothing is provided here so that no operator exists without a
+counterpart in the original work.
+"""
