@@ -9,13 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import nearest as nn
 from ..operators import tokens as tok
-from ..sources import corpus, vocab_text
+from ..sources import corpus, model_text, vocab_text
 
 # Parameters of the registered queries.
 MIN_COUNT = 5          # frequency cut of the demo set-up
 SAMPLE = 1e-4          # subsample rate
 SEED = 42
+TOP_N = 10             # answers per query (console loop)
+REPORT_N = 20          # answers per query (model-file demo report)
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,6 +68,117 @@ def q_in_vocab_tokens(spark, sf):
     return tok.in_vocab_tokens(_tokens(spark, sf), _vocab(spark, sf))
 
 
+# ---- vector columns over the embeddings table (word = vec_id as text)
+
+def _emb(spark, sf):
+    return corpus.read_table(spark, sf, "embeddings")
+
+
+def _pairs(spark, sf):
+    """Each vector with the vector of the next id (an equi-join, no window)."""
+    e = _emb(spark, sf)
+    b = e.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("other"))
+    return e.join(b, F.col("next_id") == F.col("vec_id") + 1, "inner")
+
+
+def raw_model(spark, sf):
+    return _emb(spark, sf).select(F.col("vec_id").cast("string").alias("word"),
+                                  F.col("embedding").alias("vector"))
+
+
+def text_model(spark, sf, normalize=True):
+    """The embeddings written as model text lines and read back (O3 -> O4)."""
+    return model_text.parse_model_lines(model_text.model_lines(raw_model(spark, sf)), normalize)
+
+
+def q_vector_norm(spark, sf):
+    return _emb(spark, sf).select("vec_id", V.norm(F.col("embedding")).alias("norm"))
+
+
+def q_vector_normalize(spark, sf):
+    return _emb(spark, sf).select("vec_id", V.normalize(F.col("embedding")).alias("vector"))
+
+
+def q_vector_dot(spark, sf):
+    return _pairs(spark, sf).select("vec_id", "next_id",
+                                    V.dot(F.col("embedding"), F.col("other")).alias("dot"))
+
+
+def q_vector_cosine(spark, sf):
+    return _pairs(spark, sf).select("vec_id", "next_id",
+                                    V.cosine(F.col("embedding"), F.col("other")).alias("cosine"))
+
+
+def q_vector_add(spark, sf):
+    return _pairs(spark, sf).select("vec_id", "next_id",
+                                    V.add(F.col("embedding"), F.col("other")).alias("vector"))
+
+
+def q_vector_minus(spark, sf):
+    return _pairs(spark, sf).select("vec_id", "next_id",
+                                    V.minus(F.col("embedding"), F.col("other")).alias("vector"))
+
+
+def q_vector_scale(spark, sf):
+    k = F.lit(1.0) / (F.col("label") + 1)
+    return _emb(spark, sf).select("vec_id", V.scale(F.col("embedding"), k).alias("vector"))
+
+
+def q_vector_sum(spark, sf):
+    return (_emb(spark, sf).groupBy("label")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 V.sum_vectors(F.col("embedding"), "float64").alias("s"))
+            .select("label", "n", F.transform("s", lambda x: F.round(x, 6)).alias("vector")))
+
+
+def q_model_text(spark, sf):
+    return model_text.model_lines(raw_model(spark, sf))
+
+
+def q_model_load_normalized(spark, sf):
+    return text_model(spark, sf, True)
+
+
+def q_model_load_raw(spark, sf):
+    return text_model(spark, sf, False)
+
+
+def _all_words(model):
+    return model.select(F.col("word").alias("query"))
+
+
+def q_nearest_dot(spark, sf):
+    m = text_model(spark, sf, True)
+    return nn.nearest(m, _all_words(m), TOP_N, "dot")
+
+
+def q_nearest_cosine(spark, sf):
+    m = raw_model(spark, sf)
+    return nn.nearest(m, _all_words(m), TOP_N, "cosine")
+
+
+def q_nearest_all(spark, sf):
+    return nn.nearest_all(raw_model(spark, sf), TOP_N, "cosine", block_rows=256)
+
+
+def _triples(spark, sf):
+    e = _emb(spark, sf).select("vec_id")
+    t = (e.join(e.select(F.col("vec_id").alias("to_id")), F.col("to_id") == F.col("vec_id") + 1)
+          .join(e.select(F.col("vec_id").alias("target_id")), F.col("target_id") == F.col("vec_id") + 2))
+    return t.select(F.col("vec_id").cast("string").alias("word_from"),
+                    F.col("to_id").cast("string").alias("word_to"),
+                    F.col("target_id").cast("string").alias("word_target"))
+
+
+def q_analogy(spark, sf):
+    return nn.analogy(text_model(spark, sf, True), _triples(spark, sf), TOP_N)
+
+
+def q_nearest_report(spark, sf):
+    m = text_model(spark, sf, True)
+    return nn.report_lines(nn.nearest(m, _all_words(m), REPORT_N, "dot"))
+
+
 QUERIES = {
     "corpus_lines": q_corpus_lines,
     "tokenize": q_tokenize,
@@ -71,6 +188,22 @@ QUERIES = {
     "vocab_summary": q_vocab_summary,
     "vocab_text": q_vocab_text,
     "in_vocab_tokens": q_in_vocab_tokens,
+    "vector_norm": q_vector_norm,
+    "vector_normalize": q_vector_normalize,
+    "vector_dot": q_vector_dot,
+    "vector_cosine": q_vector_cosine,
+    "vector_add": q_vector_add,
+    "vector_minus": q_vector_minus,
+    "vector_scale": q_vector_scale,
+    "vector_sum": q_vector_sum,
+    "model_text": q_model_text,
+    "model_load_normalized": q_model_load_normalized,
+    "model_load_raw": q_model_load_raw,
+    "nearest_dot": q_nearest_dot,
+    "nearest_cosine": q_nearest_cosine,
+    "nearest_all": q_nearest_all,
+    "analogy": q_analogy,
+    "nearest_report": q_nearest_report,
 }
 
 
@@ -113,3 +246,82 @@ ORACLES = {
     "in_vocab_tokens": f"""WITH {VOCAB_SQL}
         SELECT t.* FROM tokens t WHERE t.word IN (SELECT word FROM vocab)""",
 }
+
+
+# ---- vector oracles. dot = float products summed in double, in order.
+
+def _dot(a, b):
+    return (f"(CASE WHEN len({a}) = len({b}) THEN list_sum(list_transform(list_zip({a}, {b}), "
+            f"lambda p: (p[1] * p[2])::DOUBLE)) END)")
+
+
+def _norm(a):
+    return f"sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+def _normalize(a):
+    return (f"(CASE WHEN {_norm(a)} > 0 THEN list_transform({a}, "
+            f"lambda x: (x::DOUBLE / {_norm(a)})::FLOAT) ELSE {a} END)")
+
+
+PAIRS_SQL = """pairs AS (
+  SELECT a.vec_id, b.vec_id AS next_id, a.embedding, b.embedding AS other
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
+NORM_MODEL_SQL = f"""m AS (SELECT CAST(vec_id AS VARCHAR) AS word,
+                       {_normalize('embedding')} AS vector FROM embeddings)"""
+RAW_MODEL_SQL = """m AS (SELECT CAST(vec_id AS VARCHAR) AS word, embedding AS vector FROM embeddings)"""
+
+
+def _nearest_sql(model_sql, score, n):
+    return f"""WITH {model_sql},
+      s AS (SELECT q.word AS query, c.word, {score} AS score
+            FROM m q JOIN m c ON c.word <> q.word),
+      r AS (SELECT query, word, score,
+                   row_number() OVER (PARTITION BY query ORDER BY score DESC, word) AS rank
+            FROM s WHERE score IS NOT NULL AND NOT isnan(score))
+      SELECT query, CAST(rank AS INTEGER) AS rank, word, score FROM r WHERE rank <= {n}"""
+
+
+COSINE = f"({_dot('q.vector', 'c.vector')} / ({_norm('q.vector')} * {_norm('c.vector')}))"
+
+ORACLES.update({
+    "vector_norm": f"SELECT vec_id, {_norm('embedding')} AS norm FROM embeddings",
+    "vector_normalize": f"SELECT vec_id, {_normalize('embedding')} AS vector FROM embeddings",
+    "vector_dot": f"WITH {PAIRS_SQL} SELECT vec_id, next_id, {_dot('embedding', 'other')} AS dot FROM pairs",
+    "vector_cosine": f"""WITH {PAIRS_SQL} SELECT vec_id, next_id,
+        {_dot('embedding', 'other')} / ({_norm('embedding')} * {_norm('other')}) AS cosine FROM pairs""",
+    "vector_add": f"""WITH {PAIRS_SQL} SELECT vec_id, next_id,
+        list_transform(list_zip(embedding, other), lambda p: (p[1] + p[2])::FLOAT) AS vector FROM pairs""",
+    "vector_minus": f"""WITH {PAIRS_SQL} SELECT vec_id, next_id,
+        list_transform(list_zip(embedding, other), lambda p: (p[1] - p[2])::FLOAT) AS vector FROM pairs""",
+    "vector_scale": """SELECT vec_id,
+        list_transform(embedding, lambda x: (x::DOUBLE * (1.0 / (label + 1)))::FLOAT) AS vector
+        FROM embeddings""",
+    "vector_sum": """SELECT label, n, list(round(s, 6) ORDER BY i) AS vector FROM (
+        SELECT label, i, sum(x::DOUBLE) AS s FROM (
+          SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+        GROUP BY label, i)
+        JOIN (SELECT label AS l2, count(*) AS n FROM embeddings GROUP BY label) ON l2 = label
+        GROUP BY label, n""",
+    "model_load_normalized": f"WITH {NORM_MODEL_SQL} SELECT * FROM m",
+    "model_load_raw": f"WITH {RAW_MODEL_SQL} SELECT * FROM m",
+    "nearest_dot": _nearest_sql(NORM_MODEL_SQL, _dot('q.vector', 'c.vector'), TOP_N),
+    "nearest_cosine": _nearest_sql(RAW_MODEL_SQL, COSINE, TOP_N),
+    "nearest_all": _nearest_sql(RAW_MODEL_SQL, COSINE, TOP_N),
+    "analogy": f"""WITH {NORM_MODEL_SQL},
+      t AS (SELECT CAST(a.vec_id AS VARCHAR) AS word_from, CAST(b.vec_id AS VARCHAR) AS word_to,
+                   CAST(c.vec_id AS VARCHAR) AS word_target
+            FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+                              JOIN embeddings c ON c.vec_id = a.vec_id + 2),
+      ctr AS (SELECT t.*, list_transform(list_zip(vt.vector, list_transform(list_zip(vto.vector, vf.vector),
+                        lambda p: (p[1] - p[2])::FLOAT)), lambda p: (p[1] + p[2])::FLOAT) AS center
+              FROM t JOIN m vf ON vf.word = t.word_from JOIN m vto ON vto.word = t.word_to
+                     JOIN m vt ON vt.word = t.word_target),
+      s AS (SELECT word_from, word_to, word_target, c.word, {_dot('center', 'c.vector')} AS score
+            FROM ctr JOIN m c ON c.word <> ctr.word_target),
+      r AS (SELECT *, row_number() OVER (PARTITION BY word_from, word_to, word_target
+                                         ORDER BY score DESC, word) AS rank FROM s)
+      SELECT word_from, word_to, word_target, CAST(rank AS INTEGER) AS rank, word, score
+      FROM r WHERE rank <= {TOP_N}""",
+})
