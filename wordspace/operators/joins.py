@@ -32,9 +32,16 @@ class KeyedSize:
 def measure(keyed: DataFrame, key: str, weight: str | None = None) -> KeyedSize:
     """One aggregate pass: rows, an upper estimate of the serialized size,
     and the total weight."""
-    n_other = len(keyed.columns) - 1
-    aggs = [F.count(F.lit(1)).alias("n"),
-            F.sum(F.length(F.col(key)) * 4 + 16 + 16 * n_other).alias("b")]
+    from pyspark.sql.types import ArrayType
+    width = F.length(F.col(key)) * 4 + 16
+    for f in keyed.schema.fields:
+        if f.name == key:
+            continue
+        if isinstance(f.dataType, ArrayType):
+            width = width + F.coalesce(F.size(F.col(f.name)), F.lit(0)) * 8 + 16
+        else:
+            width = width + 16
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")]
     aggs.append(F.sum(weight).alias("w") if weight else F.lit(0).alias("w"))
     r = keyed.agg(*aggs).first()
     return KeyedSize(int(r["n"] or 0), int(r["b"] or 0), int(r["w"] or 0))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import nearest as nn
+from ..operators import sampling as smp
+from ..operators import sentences as sen
 from ..operators import tokens as tok
+from ..operators import weights as wts
 from ..sources import corpus, model_text, vocab_text
 
 # Parameters of the registered queries.
@@ -22,6 +25,11 @@ SAMPLE = 1e-4          # subsample rate
 SEED = 42
 TOP_N = 10             # answers per query (console loop)
 REPORT_N = 20          # answers per query (model-file demo report)
+WINDOW = 5             # context window (builder default)
+MAX_LEN = 1000         # words per sentence chunk
+EPOCHS = 2             # epochs of the sentence-level queries
+ALPHA = 0.05           # start learning rate
+DIM_SMALL = 8          # vector size of the initial-vector queries
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,6 +76,92 @@ def q_in_vocab_tokens(spark, sf):
     return tok.in_vocab_tokens(_tokens(spark, sf), _vocab(spark, sf))
 
 
+# ---- sampling and sentences
+
+def _corpus_size(spark, sf) -> int:
+    return int(tok.corpus_size(_lines(spark, sf)).first()[0])
+
+
+def _tokens_freq(spark, sf):
+    return tok.in_vocab_tokens(_tokens(spark, sf), _vocab(spark, sf), with_freq=True)
+
+
+def q_noise_distribution(spark, sf):
+    nd = smp.noise_distribution(_vocab(spark, sf))
+    return nd.select("word", "freq", *[F.round(c, 6).alias(c) for c in ("weight", "share", "cum_share")])
+
+
+def q_keep_probability(spark, sf):
+    return smp.keep_probability(_vocab(spark, sf), _corpus_size(spark, sf), SAMPLE)
+
+
+def q_subsample(spark, sf):
+    return smp.subsample(_tokens_freq(spark, sf), _corpus_size(spark, sf), SAMPLE, SEED, 0) \
+              .select("doc_id", "line_no", "pos", "word")
+
+
+def q_epoch_tokens(spark, sf):
+    return smp.epoch_tokens(_tokens_freq(spark, sf), _corpus_size(spark, sf), SAMPLE, SEED, EPOCHS)
+
+
+def _chunks(spark, sf, epochs=EPOCHS):
+    c = _corpus_size(spark, sf)
+    kept = smp.epoch_tokens(_tokens_freq(spark, sf), c, SAMPLE, SEED, epochs)
+    return sen.sentence_chunks(kept, sen.line_info(_lines(spark, sf)), c, MAX_LEN), c
+
+
+def q_sentence_chunks(spark, sf):
+    ch, _ = _chunks(spark, sf)
+    return ch.select("epoch", "doc_id", "line_no", "chunk", "words")
+
+
+def q_chunk_progress(spark, sf):
+    ch, _ = _chunks(spark, sf)
+    return ch.select("epoch", "doc_id", "line_no", "chunk", "n_words", "tokens_seen")
+
+
+def q_learning_rate(spark, sf):
+    ch, c = _chunks(spark, sf)
+    return ch.select("epoch", "doc_id", "line_no", "chunk", "tokens_seen",
+                     sen.learning_rate_col(F.col("tokens_seen"), ALPHA, EPOCHS, c).alias("alpha"))
+
+
+def _first_epoch_chunks(spark, sf):
+    ch, _ = _chunks(spark, sf, 1)
+    return ch
+
+
+def q_window_width(spark, sf):
+    t = sen.targets(_first_epoch_chunks(spark, sf), WINDOW, SEED)
+    return t.select("epoch", "doc_id", "line_no", "chunk", "target_pos", "width")
+
+
+def q_skipgram_pairs(spark, sf):
+    return sen.skipgram_pairs(_first_epoch_chunks(spark, sf), WINDOW, SEED)
+
+
+def _init_model(spark, sf):
+    return wts.init_vectors(_vocab(spark, sf), DIM_SMALL, SEED)
+
+
+def q_init_vectors(spark, sf):
+    return _init_model(spark, sf)
+
+
+def q_cbow_context(spark, sf):
+    vocab = _vocab(spark, sf)
+    cc = sen.cbow_context(_first_epoch_chunks(spark, sf), wts.init_vectors(vocab, DIM_SMALL, SEED),
+                          WINDOW, SEED, vocab)
+    return cc.select("epoch", "doc_id", "line_no", "chunk", "target_pos", "target", "n_context",
+                     "mean")
+
+
+def q_vector_lookup(spark, sf):
+    """Vectors of the words of the benchmark texts in a vocabulary model."""
+    words = tok.tokenize(corpus.document_lines(spark, sf, "benchmark")).select(F.col("word").alias("query"))
+    return nn.lookup(_init_model(spark, sf), words)
+
+
 # ---- vector columns over the embeddings table (word = vec_id as text)
 
 def _emb(spark, sf):
@@ -188,6 +282,18 @@ QUERIES = {
     "vocab_summary": q_vocab_summary,
     "vocab_text": q_vocab_text,
     "in_vocab_tokens": q_in_vocab_tokens,
+    "noise_distribution": q_noise_distribution,
+    "keep_probability": q_keep_probability,
+    "subsample": q_subsample,
+    "epoch_tokens": q_epoch_tokens,
+    "sentence_chunks": q_sentence_chunks,
+    "chunk_progress": q_chunk_progress,
+    "learning_rate": q_learning_rate,
+    "window_width": q_window_width,
+    "skipgram_pairs": q_skipgram_pairs,
+    "init_vectors": q_init_vectors,
+    "cbow_context": q_cbow_context,
+    "vector_lookup": q_vector_lookup,
     "vector_norm": q_vector_norm,
     "vector_normalize": q_vector_normalize,
     "vector_dot": q_vector_dot,
@@ -325,3 +431,97 @@ ORACLES.update({
       SELECT word_from, word_to, word_target, CAST(rank AS INTEGER) AS rank, word, score
       FROM r WHERE rank <= {TOP_N}""",
 })
+
+
+# ---- sampling / sentence oracles
+
+def _u16(key_sql):
+    return f"(CAST('0x' || substr(md5({key_sql}), 1, 4) AS BIGINT) / 65536.0)"
+
+
+def _int8(key_sql, mod):
+    return f"(CAST('0x' || substr(md5({key_sql}), 1, 8) AS BIGINT) % {mod})"
+
+
+KEEP_SQL = VOCAB_SQL + f""",
+cs AS (SELECT count(*) AS c FROM tokens),
+tf AS (SELECT t.*, v.freq, v.freq / ({SAMPLE!r} * cs.c) AS r FROM tokens t JOIN vocab v USING (word), cs),
+kept AS (
+  SELECT e.epoch, tf.doc_id, tf.line_no, tf.pos, tf.word FROM tf,
+         (SELECT CAST(unnest(range({EPOCHS})) AS INTEGER) AS epoch) e
+  WHERE (sqrt(r) + 1) / r >= {_u16(f"'{SEED}|keep|' || e.epoch || '|' || tf.doc_id || '|' || tf.line_no || '|' || tf.pos")}
+),
+info AS (
+  SELECT doc_id, line_no, n_tokens,
+         coalesce(sum(n_tokens) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_base
+  FROM (SELECT doc_id, line_no,
+               CAST(len(list_filter(regexp_split_to_array(line, '[ \t\n\r\f]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
+        FROM lines)
+),
+ranked AS (
+  SELECT k.*, CAST((row_number() OVER (PARTITION BY epoch, doc_id, line_no ORDER BY pos) - 1) // {MAX_LEN} AS INTEGER) AS chunk
+  FROM kept k
+),
+chunks AS (
+  SELECT r.epoch, r.doc_id, r.line_no, r.chunk, list(r.word ORDER BY r.pos) AS words,
+         CAST(count(*) AS INTEGER) AS n_words,
+         r.epoch * (SELECT c FROM cs) + i.line_base +
+           CASE WHEN count(*) = {MAX_LEN} THEN max(r.pos) + 1 ELSE i.n_tokens END AS tokens_seen
+  FROM ranked r JOIN info i USING (doc_id, line_no)
+  GROUP BY r.epoch, r.doc_id, r.line_no, r.chunk, i.line_base, i.n_tokens
+),
+targets AS (
+  SELECT epoch, doc_id, line_no, chunk, words, target_pos, words[target_pos + 1] AS target,
+         {WINDOW} - {_int8(f"'{SEED}|window|' || epoch || '|' || doc_id || '|' || line_no || '|' || chunk || '|' || target_pos", WINDOW)} AS width
+  FROM (SELECT *, CAST(unnest(range(len(words))) AS INTEGER) AS target_pos FROM chunks WHERE epoch = 0)
+),
+pairs AS (
+  SELECT epoch, doc_id, line_no, chunk, target_pos, context_pos, target, words[context_pos + 1] AS context
+  FROM (SELECT *, CAST(unnest(range(greatest(0, target_pos - width), least(len(words) - 1, target_pos + width) + 1)) AS INTEGER) AS context_pos
+        FROM targets)
+  WHERE context_pos <> target_pos
+),
+initv AS (
+  SELECT word, list_transform(range({DIM_SMALL}), lambda i:
+      (((CAST('0x' || substr(md5('{SEED}|init|' || word || '|' || (i // 8)), CAST((i % 8) * 4 + 1 AS INTEGER), 4) AS BIGINT) / 65536.0) - 0.5)
+       / {float(DIM_SMALL)!r})::FLOAT) AS vector
+  FROM vocab
+)"""
+
+ORACLES.update({
+    "noise_distribution": f"""WITH {VOCAB_SQL},
+      w AS (SELECT word, freq, pow(CAST(freq AS DOUBLE), 0.75) AS weight FROM vocab),
+      t AS (SELECT sum(weight) AS tot FROM w)
+      SELECT word, freq, round(weight, 6) AS weight, round(weight / tot, 6) AS share,
+             round(sum(weight) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / tot, 6) AS cum_share
+      FROM w, t""",
+    "keep_probability": f"""WITH {VOCAB_SQL}, cs AS (SELECT count(*) AS c FROM tokens),
+      v AS (SELECT word, freq, freq / ({SAMPLE!r} * c) AS r FROM vocab, cs)
+      SELECT word, freq, least(1.0, (sqrt(r) + 1) / r) AS keep_prob FROM v""",
+    "subsample": f"WITH {KEEP_SQL} SELECT doc_id, line_no, pos, word FROM kept WHERE epoch = 0",
+    "epoch_tokens": f"WITH {KEEP_SQL} SELECT * FROM kept",
+    "sentence_chunks": f"WITH {KEEP_SQL} SELECT epoch, doc_id, line_no, chunk, words FROM chunks",
+    "chunk_progress": f"WITH {KEEP_SQL} SELECT epoch, doc_id, line_no, chunk, n_words, tokens_seen FROM chunks",
+    "learning_rate": f"""WITH {KEEP_SQL}
+      SELECT epoch, doc_id, line_no, chunk, tokens_seen,
+             greatest({ALPHA!r} * (1.0 - tokens_seen / CAST({EPOCHS} * (SELECT c FROM cs) + 1 AS DOUBLE)),
+                      {ALPHA * 1e-4!r}) AS alpha FROM chunks""",
+    "window_width": f"WITH {KEEP_SQL} SELECT epoch, doc_id, line_no, chunk, target_pos, width FROM targets",
+    "skipgram_pairs": f"WITH {KEEP_SQL} SELECT * FROM pairs",
+    "init_vectors": f"WITH {KEEP_SQL} SELECT * FROM initv",
+    "cbow_context": f"""WITH {KEEP_SQL},
+      pv AS (SELECT p.epoch, p.doc_id, p.line_no, p.chunk, p.target_pos, p.target, v.vector
+             FROM pairs p JOIN initv v ON v.word = p.context),
+      cnt AS (SELECT epoch, doc_id, line_no, chunk, target_pos, target, count(*) AS n_context
+              FROM pv GROUP BY ALL),
+      el AS (SELECT epoch, doc_id, line_no, chunk, target_pos, target, i, sum(x::DOUBLE) / count(*) AS m
+             FROM (SELECT *, unnest(vector) AS x, unnest(range(len(vector))) AS i FROM pv) GROUP BY ALL)
+      SELECT el.epoch, el.doc_id, el.line_no, el.chunk, el.target_pos, el.target, cnt.n_context,
+             list(m ORDER BY i) AS mean
+      FROM el JOIN cnt USING (epoch, doc_id, line_no, chunk, target_pos, target)
+      GROUP BY el.epoch, el.doc_id, el.line_no, el.chunk, el.target_pos, el.target, cnt.n_context""",
+    "vector_lookup": f"""WITH {KEEP_SQL},
+      bl AS (SELECT unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) AS line FROM benchmark WHERE text IS NOT NULL),
+      bw AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS word FROM bl)
+      SELECT v.word AS query, v.vector FROM initv v JOIN bw USING (word)""",
+})
