@@ -510,16 +510,13 @@ ORACLES.update({
     "skipgram_pairs": f"WITH {KEEP_SQL} SELECT * FROM pairs",
     "init_vectors": f"WITH {KEEP_SQL} SELECT * FROM initv",
     "cbow_context": f"""WITH {KEEP_SQL},
-      pv AS (SELECT p.epoch, p.doc_id, p.line_no, p.chunk, p.target_pos, p.target, v.vector
-             FROM pairs p JOIN initv v ON v.word = p.context),
-      cnt AS (SELECT epoch, doc_id, line_no, chunk, target_pos, target, count(*) AS n_context
-              FROM pv GROUP BY ALL),
-      el AS (SELECT epoch, doc_id, line_no, chunk, target_pos, target, i, sum(x::DOUBLE) / count(*) AS m
-             FROM (SELECT *, unnest(vector) AS x, unnest(range(len(vector))) AS i FROM pv) GROUP BY ALL)
-      SELECT el.epoch, el.doc_id, el.line_no, el.chunk, el.target_pos, el.target, cnt.n_context,
-             list(m ORDER BY i) AS mean
-      FROM el JOIN cnt USING (epoch, doc_id, line_no, chunk, target_pos, target)
-      GROUP BY el.epoch, el.doc_id, el.line_no, el.chunk, el.target_pos, el.target, cnt.n_context""",
+      nb AS (SELECT p.epoch, p.doc_id, p.line_no, p.chunk, p.target_pos, p.target,
+                    list(v.vector ORDER BY p.context_pos) AS vs
+             FROM pairs p JOIN initv v ON v.word = p.context GROUP BY ALL)
+      SELECT epoch, doc_id, line_no, chunk, target_pos, target, CAST(len(vs) AS INTEGER) AS n_context,
+             list_transform(list_reduce(vs, lambda acc, v: list_transform(list_zip(acc, v), lambda p: (p[1] + p[2])::FLOAT)),
+                            lambda x: (x::DOUBLE * (1.0 / len(vs)))::FLOAT) AS mean
+      FROM nb""",
     "vector_lookup": f"""WITH {KEEP_SQL},
       bl AS (SELECT unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) AS line FROM benchmark WHERE text IS NOT NULL),
       bw AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS word FROM bl)
