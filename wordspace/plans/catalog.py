@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import huffman as hf
 from ..operators import nearest as nn
 from ..operators import sampling as smp
 from ..operators import sentences as sen
@@ -162,6 +163,24 @@ def q_vector_lookup(spark, sf):
     return nn.lookup(_init_model(spark, sf), words)
 
 
+# ---- Huffman coding
+
+def q_huffman_classes(spark, sf):
+    return hf.frequency_classes(_vocab(spark, sf))
+
+
+def q_huffman_codes(spark, sf):
+    return hf.huffman_codes(_vocab(spark, sf))
+
+
+def q_huffman_paths(spark, sf):
+    return hf.huffman_paths(hf.huffman_codes(_vocab(spark, sf)))
+
+
+def q_huffman_cost(spark, sf):
+    return hf.huffman_cost(hf.huffman_codes(_vocab(spark, sf)))
+
+
 # ---- vector columns over the embeddings table (word = vec_id as text)
 
 def _emb(spark, sf):
@@ -294,6 +313,10 @@ QUERIES = {
     "init_vectors": q_init_vectors,
     "cbow_context": q_cbow_context,
     "vector_lookup": q_vector_lookup,
+    "huffman_classes": q_huffman_classes,
+    "huffman_codes": q_huffman_codes,
+    "huffman_paths": q_huffman_paths,
+    "huffman_cost": q_huffman_cost,
     "vector_norm": q_vector_norm,
     "vector_normalize": q_vector_normalize,
     "vector_dot": q_vector_dot,
@@ -522,3 +545,5 @@ ORACLES.update({
       bw AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS word FROM bl)
       SELECT v.word AS query, v.vector FROM initv v JOIN bw USING (word)""",
 })
+
+ORACLES["huffman_classes"] = f"WITH {VOCAB_SQL} SELECT freq, count(*) AS n_words FROM vocab GROUP BY freq"
