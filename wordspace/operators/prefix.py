@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 
 def running_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: str,
@@ -28,6 +28,7 @@ def running_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: s
     ``inclusive=False`` gives the sum strictly before the row."""
     spark = df.sparkSession
     checkpoint_dir(spark)
+    ship_package(spark)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(p, *order_cols)
                 .sortWithinPartitions(*order_cols)

@@ -31,6 +31,8 @@ MAX_LEN = 1000         # words per sentence chunk
 EPOCHS = 2             # epochs of the sentence-level queries
 ALPHA = 0.05           # start learning rate
 DIM_SMALL = 8          # vector size of the initial-vector queries
+DIM_TRAIN = 50         # vector size of the registered training queries
+EPOCHS_TRAIN = 1       # epochs of the registered training queries
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,6 +183,33 @@ def q_huffman_cost(spark, sf):
     return hf.huffman_cost(hf.huffman_codes(_vocab(spark, sf)))
 
 
+# ---- training (rows-only checks; properties in tests/)
+
+def _fit(spark, sf, method):
+    from .train import fit
+    return fit(_lines(spark, sf), method=method, dim=DIM_TRAIN, window=WINDOW,
+               min_count=MIN_COUNT, sample=SAMPLE, alpha=ALPHA, epochs=EPOCHS_TRAIN,
+               max_len=MAX_LEN, seed=SEED)
+
+
+def q_train_skip_gram(spark, sf):
+    return _fit(spark, sf, "skip_gram").words
+
+
+def q_train_cbow(spark, sf):
+    return _fit(spark, sf, "cbow").words
+
+
+def q_fit_and_query(spark, sf):
+    """The whole job: vocabulary, tree, training, then the 10 nearest words
+    (cosine) of every vocabulary word."""
+    return nn.nearest_all(_fit(spark, sf, "skip_gram").words, TOP_N, "cosine")
+
+
+def flagship(spark, sf):
+    return q_fit_and_query(spark, sf)
+
+
 # ---- vector columns over the embeddings table (word = vec_id as text)
 
 def _emb(spark, sf):
@@ -317,6 +346,9 @@ QUERIES = {
     "huffman_codes": q_huffman_codes,
     "huffman_paths": q_huffman_paths,
     "huffman_cost": q_huffman_cost,
+    "train_skip_gram": q_train_skip_gram,
+    "train_cbow": q_train_cbow,
+    "fit_and_query": q_fit_and_query,
     "vector_norm": q_vector_norm,
     "vector_normalize": q_vector_normalize,
     "vector_dot": q_vector_dot,
