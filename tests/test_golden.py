@@ -1,0 +1,190 @@
+"""Golden micro cases (FIXTURES.md section 3), worked out by hand from the
+formulas."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import lines_df
+from wordspace.functions import vectors as V
+from wordspace.functions.sigmoid import sigmoid_np, sigmoid_table
+from wordspace.operators import huffman, nearest, sampling, sentences, tokens
+from wordspace.operators.hsoftmax import ShardState, train_sentence_cbow, train_sentence_skipgram
+from wordspace.sources import model_text
+
+
+def test_g1_vocabulary(spark):
+    lines = lines_df(spark, ["a b a c\nb a d"])
+    toks = tokens.tokenize(lines)
+    assert tokens.corpus_size(lines).first()[0] == 7
+    wc = {r["word"]: r["freq"] for r in tokens.word_count(toks).collect()}
+    assert wc == {"a": 3, "b": 2, "c": 1, "d": 1}
+    v = {r["word"] for r in tokens.vocabulary(toks, 2).collect()}
+    assert v == {"a", "b"}
+
+
+def test_tokenizer_delimiters(spark):
+    lines = lines_df(spark, ["  x\ty\fz\x0bw  "])
+    words = [r["word"] for r in tokens.tokenize(lines).orderBy("pos").collect()]
+    assert words == ["x", "y", "z\x0bw"]  # vertical tab is not a delimiter
+
+
+def test_line_ends(spark):
+    lines = lines_df(spark, ["a\r\nb\rc\n", "", "x\n\ny"])
+    got = sorted((r["doc_id"], r["line_no"], r["line"]) for r in lines.collect())
+    assert got == [(0, 0, "a"), (0, 1, "b"), (0, 2, "c"), (2, 0, "x"), (2, 1, ""), (2, 2, "y")]
+
+
+def test_g2_huffman(spark):
+    vocab = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1), ("d", 1)], "word string, freq long")
+    codes = {r["word"]: r["code"] for r in huffman.huffman_codes(vocab).collect()}
+    assert codes == {"a": "0", "b": "10", "c": "110", "d": "111"}
+    paths = huffman.huffman_paths(huffman.huffman_codes(vocab)).where("word = 'c'").orderBy("step")
+    assert [(r["node_id"], r["bit"]) for r in paths.collect()] == [("", 1), ("1", 1), ("11", 0)]
+    assert huffman.huffman_cost(huffman.huffman_codes(vocab)).first()["cost"] == 13
+
+
+def test_g3_keep_probability(spark):
+    vocab = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "word string, freq long")
+    kp = {r["word"]: r["keep_prob"] for r in sampling.keep_probability(vocab, 7, 0.1).collect()}
+    assert kp["a"] == pytest.approx(0.716379, abs=1e-6)
+    assert kp["b"] == pytest.approx(0.941608, abs=1e-6)
+    assert kp["c"] == 1.0
+
+
+def test_g4_noise_shares(spark):
+    vocab = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1), ("d", 1)], "word string, freq long")
+    nd = {r["word"]: r for r in sampling.noise_distribution(vocab).collect()}
+    assert nd["a"]["share"] == pytest.approx(0.382384, abs=1e-6)
+    assert nd["b"]["share"] == pytest.approx(0.282118, abs=1e-6)
+    assert nd["c"]["share"] == pytest.approx(0.167749, abs=1e-6)
+    assert nd["d"]["cum_share"] == pytest.approx(1.0)
+
+
+def test_g5_learning_rate(spark):
+    df = spark.createDataFrame([(4,), (7,), (10**9,)], "seen long")
+    lr = [r[0] for r in df.select(sentences.learning_rate_col(F.col("seen"), 0.05, 1, 7)).collect()]
+    assert lr[0] == pytest.approx(0.025)
+    assert lr[1] == pytest.approx(0.00625)
+    assert lr[2] == pytest.approx(0.000005)
+
+
+def test_g6_chunks(spark):
+    lines = lines_df(spark, ["a x b c x"])
+    toks = tokens.tokenize(lines)
+    vocab = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "word string, freq long")
+    tf = tokens.in_vocab_tokens(toks, vocab, with_freq=True)
+    kept = sampling.subsample(tf, 5, 0.0, 1, 0).withColumn("epoch", F.lit(0))
+    ch = sentences.sentence_chunks(kept, sentences.line_info(lines), 5, max_len=2).orderBy("chunk")
+    got = [(r["chunk"], r["words"], r["tokens_seen"]) for r in ch.collect()]
+    assert got == [(0, ["a", "b"], 3), (1, ["c"], 5)]
+    # the last kept token fills a chunk: no trailing chunk
+    lines2 = lines_df(spark, ["a b x"])
+    tf2 = tokens.in_vocab_tokens(tokens.tokenize(lines2), vocab, with_freq=True)
+    kept2 = sampling.subsample(tf2, 3, 0.0, 1, 0).withColumn("epoch", F.lit(0))
+    ch2 = sentences.sentence_chunks(kept2, sentences.line_info(lines2), 3, max_len=2).collect()
+    assert [(r["words"], r["tokens_seen"]) for r in ch2] == [(["a", "b"], 2)]
+
+
+def test_g7_pairs(spark):
+    ch = spark.createDataFrame([(0, 0, 0, 0, ["a", "b", "a", "c"])],
+                               "epoch int, doc_id long, line_no int, chunk int, words array<string>")
+    pairs = sentences.skipgram_pairs(ch, 1, 42)
+    got = sorted((r["target_pos"], r["context_pos"]) for r in pairs.collect())
+    assert got == [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)]
+
+
+def test_g8_sigmoid(spark):
+    xs = [-7.0, -6.0, -5.999, -1.0, 0.0, 1.0, 5.999, 6.0]
+    want = [0.0, 0.0, 0.002473, 0.265027, 0.494000, 0.725518, 0.997375, 1.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(sigmoid_table(F.col("x"))).collect()]
+    assert np.allclose(got, want, atol=1e-6)
+    assert np.allclose(sigmoid_np(np.array(xs)), want, atol=1e-6)
+    grid = np.linspace(-5.999, 5.999, 20001)
+    assert np.max(np.abs(sigmoid_np(grid) - 1 / (1 + np.exp(-grid)))) < 0.0092
+
+
+def _state(words, vecs, codes, nodes, nvecs):
+    return ShardState(words, np.array(vecs, np.float32), codes, nodes, np.array(nvecs, np.float32), 2)
+
+
+def test_g9_skipgram_one_pair():
+    st = _state(["t", "c"], [[0, 0], [0.1, -0.2]], ["10", ""], ["", "1"], [[0.2, 0.1], [-0.1, 0.3]])
+    train_sentence_skipgram(st, np.array([0, 1]), np.array([1, 1]), 0.05)
+    assert np.allclose(st.N[0], [0.19753, 0.10494], atol=1e-5)
+    assert np.allclose(st.N[1], [-0.09738, 0.29476], atol=1e-5)
+    assert np.allclose(st.W[1], [0.09244, -0.19461], atol=1e-5)
+
+
+def test_g10_cbow_one_target():
+    st = _state(["n1", "t", "n2"], [[0.1, -0.2], [0, 0], [0.3, 0.4]], ["", "10", ""], ["", "1"],
+                [[0.2, 0.1], [-0.1, 0.3]])
+    train_sentence_cbow(st, np.array([0, 1, 2]), np.array([1, 1, 1]), 0.05)
+    assert np.allclose(st.N[0], [0.19494, 0.09747], atol=1e-5)
+    assert np.allclose(st.N[1], [-0.09494, 0.30253], atol=1e-5)
+    assert np.allclose(st.W[0], [0.09241, -0.19494], atol=1e-5)
+    assert np.allclose(st.W[2], [0.29241, 0.40506], atol=1e-5)
+
+
+def test_g11_nearest_order(spark):
+    scores = {"a": 0.1, "b": 0.9, "c": 0.5, "d": -0.2, "e": 0.7, "f": -0.5}
+    rows = [(w, [s, 0.0]) for w, s in scores.items()] + [("q", [1.0, 0.0])]
+    model = spark.createDataFrame(rows, "word string, vector array<float>")
+    q = spark.createDataFrame([("q",)], "query string")
+    ans = nearest.nearest(model, q, 3, "dot").orderBy("rank").collect()
+    assert [r["word"] for r in ans] == ["b", "e", "c"]
+    assert [r["rank"] for r in ans] == [1, 2, 3]
+
+
+def test_g12_analogy(spark):
+    rows = [("from", [1.0, 0.0]), ("to", [0.0, 1.0]), ("target", [1.0, 0.0]), ("other", [0.6, 0.8])]
+    model = spark.createDataFrame(rows, "word string, vector array<float>")
+    t = spark.createDataFrame([("from", "to", "target")], "word_from string, word_to string, word_target string")
+    ans = nearest.analogy(model, t, 10).orderBy("rank").collect()
+    assert [(r["word"], round(r["score"], 6)) for r in ans] == [("to", 1.0), ("other", 0.8), ("from", 0.0)]
+
+
+def test_g13_model_text(spark):
+    lines = spark.createDataFrame([("2 2",), ("a 1.0 0.0",), ("b 3.0 4.0",)], "line string")
+    norm = {r["word"]: r["vector"] for r in model_text.parse_model_lines(lines, True).collect()}
+    raw = {r["word"]: r["vector"] for r in model_text.parse_model_lines(lines, False).collect()}
+    assert np.allclose(norm["b"], [0.6, 0.8]) and raw["b"] == [3.0, 4.0]
+    bad = spark.createDataFrame([("3 2",), ("a 1.0 0.0",), ("b 3.0 4.0",)], "line string")
+    with pytest.raises(ValueError):
+        model_text.parse_model_lines(bad)
+
+
+def test_model_text_round_trip(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector"))
+    path = str(tmp_path / "model")
+    model_text.write_model_text(df, path)
+    back = model_text.read_model_text(spark, path, normalize=False)
+    a = {r["word"]: r["vector"] for r in df.collect()}
+    b = {r["word"]: r["vector"] for r in back.collect()}
+    assert a == b
+
+
+def test_g14_edges(spark):
+    empty = lines_df(spark, [""])
+    assert tokens.corpus_size(empty).first()[0] == 0
+    assert tokens.vocabulary(tokens.tokenize(empty), 1).count() == 0
+    one = spark.createDataFrame([("a", 5)], "word string, freq long")
+    assert [r["code"] for r in huffman.huffman_codes(one).collect()] == [""]
+    model = spark.createDataFrame([("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("b", [0.5, 0.5])],
+                                  "word string, vector array<float>")
+    q = spark.createDataFrame([("nope",)], "query string")
+    assert nearest.nearest(model, q, 3).count() == 0
+    qa = spark.createDataFrame([("a",)], "query string")
+    words = {r["word"] for r in nearest.nearest(model, qa, 3, "cosine").collect()}
+    assert words == {"b"}  # zero vector has no cosine answer
+    uneq = spark.createDataFrame([([1.0, 2.0], [1.0])], "a array<float>, b array<float>")
+    r = uneq.select(V.dot(F.col("a"), F.col("b")), V.add(F.col("a"), F.col("b"))).first()
+    assert r[0] is None and r[1] is None
+    vocab = spark.createDataFrame([("a", 1000)], "word string, freq long")
+    assert sampling.keep_probability(vocab, 1000, 0.0).first()["keep_prob"] == 1.0
+    with pytest.raises(ValueError):
+        nearest.nearest(model, qa, 0)
+    with pytest.raises(ValueError):
+        sentences.window_width_col(1, 0, F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0))
