@@ -210,6 +210,49 @@ def flagship(spark, sf):
     return q_fit_and_query(spark, sf)
 
 
+# ---- logistic table and synchronous batch steps (conversations corpus)
+
+def q_sigmoid(spark, sf):
+    """The table rule (and the exact logistic) at x = 4 * sum of each
+    embedding's components (spans both saturated ends)."""
+    from ..functions.sigmoid import sigmoid_exact, sigmoid_table
+    x = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double")) * 4
+    e = _emb(spark, sf).select("vec_id", x.alias("x"))
+    return e.select("vec_id", "x", F.round(sigmoid_table(F.col("x")), 6).alias("f_table"),
+                    F.round(sigmoid_exact(F.col("x")), 6).alias("f_exact"))
+
+
+def _conv_setup(spark, sf):
+    lines = corpus.document_lines(spark, sf, "conversations")
+    toks = tok.tokenize(lines)
+    vocab = tok.vocabulary(toks, MIN_COUNT)
+    c = int(tok.corpus_size(lines).first()[0])
+    kept = smp.subsample(tok.in_vocab_tokens(toks, vocab, True), c, SAMPLE, SEED, 0) \
+              .withColumn("epoch", F.lit(0))
+    chunks = sen.sentence_chunks(kept, sen.line_info(lines), c, MAX_LEN)
+    codes = hf.rank_codes(vocab)
+    words = wts.init_vectors(vocab, DIM_SMALL, SEED)
+    inner = wts.init_inner(codes, DIM_SMALL, SEED, zero=False)
+    return chunks, codes, words, inner
+
+
+def _rounded_step(df):
+    return df.select("kind", "key", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+def q_hs_batch_step(spark, sf):
+    from ..operators.hsoftmax import hs_batch_step
+    chunks, codes, words, inner = _conv_setup(spark, sf)
+    pairs = sen.skipgram_pairs(chunks, WINDOW, SEED)
+    return _rounded_step(hs_batch_step(pairs, words, inner, codes, ALPHA))
+
+
+def q_cbow_batch_step(spark, sf):
+    from ..operators.hsoftmax import cbow_batch_step
+    chunks, codes, words, inner = _conv_setup(spark, sf)
+    return _rounded_step(cbow_batch_step(chunks, words, inner, codes, WINDOW, SEED, ALPHA))
+
+
 # ---- vector columns over the embeddings table (word = vec_id as text)
 
 def _emb(spark, sf):
@@ -346,6 +389,9 @@ QUERIES = {
     "huffman_codes": q_huffman_codes,
     "huffman_paths": q_huffman_paths,
     "huffman_cost": q_huffman_cost,
+    "sigmoid": q_sigmoid,
+    "hs_batch_step": q_hs_batch_step,
+    "cbow_batch_step": q_cbow_batch_step,
     "train_skip_gram": q_train_skip_gram,
     "train_cbow": q_train_cbow,
     "fit_and_query": q_fit_and_query,
@@ -371,28 +417,41 @@ QUERIES = {
 # --------------------------------------------------------------------------
 # DuckDB oracles. Written independently in SQL from the same rules.
 
-LINES_SQL = r"""
+SOURCES_SQL = {
+    "documents": "SELECT doc_id, text FROM documents",
+    "conversations": """SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS doc_id, text
+                        FROM conversations""",
+}
+
+
+def lines_sql(source: str = "documents") -> str:
+    return r"""
 lines AS (
   SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) AS line_no, unnest(a) AS line
   FROM (
     SELECT doc_id, CASE WHEN a[len(a)] = '' THEN a[1:len(a)-1] ELSE a END AS a
     FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS a
-          FROM documents WHERE text IS NOT NULL)
+          FROM (""" + SOURCES_SQL[source] + r""") WHERE text IS NOT NULL)
   )
 )"""
 
-TOKENS_SQL = LINES_SQL + r""",
+
+LINES_SQL = lines_sql("documents")
+
+TOKENS_PART = r""",
 tokens AS (
   SELECT doc_id, line_no, CAST(unnest(range(len(a))) AS INTEGER) AS pos, unnest(a) AS word
   FROM (SELECT doc_id, line_no,
                list_filter(regexp_split_to_array(line, '[ \t\n\r\f]+'), lambda x: x <> '') AS a
         FROM lines)
 )"""
+TOKENS_SQL = LINES_SQL + TOKENS_PART
 
-VOCAB_SQL = TOKENS_SQL + f""",
+VOCAB_PART = f""",
 vocab AS (
   SELECT word, count(*) AS freq FROM tokens GROUP BY word HAVING count(*) >= {MIN_COUNT}
 )"""
+VOCAB_SQL = TOKENS_SQL + VOCAB_PART
 
 ORACLES = {
     "corpus_lines": f"WITH {LINES_SQL} SELECT * FROM lines",
@@ -498,7 +557,7 @@ def _int8(key_sql, mod):
     return f"(CAST('0x' || substr(md5({key_sql}), 1, 8) AS BIGINT) % {mod})"
 
 
-KEEP_SQL = VOCAB_SQL + f""",
+KEEP_PART = f""",
 cs AS (SELECT count(*) AS c FROM tokens),
 tf AS (SELECT t.*, v.freq, v.freq / ({SAMPLE!r} * cs.c) AS r FROM tokens t JOIN vocab v USING (word), cs),
 kept AS (
@@ -542,6 +601,14 @@ initv AS (
        / {float(DIM_SMALL)!r})::FLOAT) AS vector
   FROM vocab
 )"""
+KEEP_SQL = VOCAB_SQL + KEEP_PART
+CONV_SQL = lines_sql("conversations") + TOKENS_PART + VOCAB_PART + KEEP_PART
+
+
+def _sig(x):
+    e = f"exp((floor((({x}) + 6) * 83) / 1000.0 * 2 - 1) * 6)"
+    return f"(CASE WHEN ({x}) <= -6 THEN 0.0 WHEN ({x}) >= 6 THEN 1.0 ELSE {e} / ({e} + 1) END)"
+
 
 ORACLES.update({
     "noise_distribution": f"""WITH {VOCAB_SQL},
@@ -579,3 +646,79 @@ ORACLES.update({
 })
 
 ORACLES["huffman_classes"] = f"WITH {VOCAB_SQL} SELECT freq, count(*) AS n_words FROM vocab GROUP BY freq"
+
+
+# ---- logistic table and batch-step oracles
+
+STEP_SQL = CONV_SQL + f""",
+lcodes AS (SELECT CAST(greatest(1, ceil(log2(count(*)))) AS INTEGER) AS width FROM vocab),
+codes AS (SELECT word, freq, lpad(bin(row_number() OVER (ORDER BY freq DESC, word) - 1), width, '0') AS code
+          FROM vocab, lcodes),
+nodes AS (SELECT DISTINCT substr(code, 1, CAST(k AS INTEGER)) AS node_id
+          FROM (SELECT code, unnest(range(len(code))) AS k FROM codes)),
+initn AS (
+  SELECT node_id, list_transform(range({DIM_SMALL}), lambda i:
+      (((CAST('0x' || substr(md5('{SEED}|init|node:' || node_id || '|' || (i // 8)), CAST((i % 8) * 4 + 1 AS INTEGER), 4) AS BIGINT) / 65536.0) - 0.5)
+       / {float(DIM_SMALL)!r})::FLOAT) AS vector
+  FROM nodes
+)"""
+
+
+def _step_out(terms_sql, node_delta, word_delta):
+    """Apply summed deltas: new = old (float, as double) + sum, rounded."""
+    return f"""{terms_sql},
+      dn AS (SELECT node_id, i, sum(x::DOUBLE) AS s
+             FROM (SELECT node_id, unnest({node_delta}) AS x, unnest(range(len({node_delta}))) AS i FROM terms)
+             GROUP BY node_id, i),
+      dw AS (SELECT context, i, sum(x::DOUBLE) AS s
+             FROM (SELECT context, unnest({word_delta}) AS x, unnest(range(len({word_delta}))) AS i FROM wterms)
+             GROUP BY context, i)
+      SELECT 'n' AS kind, dn.node_id AS key, list(round(n.vector[dn.i + 1]::DOUBLE + dn.s, 6) ORDER BY dn.i) AS vector
+      FROM dn JOIN initn n USING (node_id) GROUP BY dn.node_id
+      UNION ALL
+      SELECT 'w' AS kind, dw.context AS key, list(round(v.vector[dw.i + 1]::DOUBLE + dw.s, 6) ORDER BY dw.i) AS vector
+      FROM dw JOIN initv v ON v.word = dw.context GROUP BY dw.context"""
+
+
+def _g(x, alpha=ALPHA):
+    f = _sig(x)
+    return f"(CASE WHEN {f} = 0.0 OR {f} = 1.0 THEN 0.0 ELSE (1.0 - bit - {f}) * {alpha!r} END)"
+
+
+HS_TERMS = f"""WITH {STEP_SQL},
+      pn AS (SELECT context, code, CAST(unnest(range(len(code))) AS INTEGER) AS step
+             FROM pairs p JOIN codes c ON c.word = p.target),
+      pv AS (SELECT pn.context, substr(code, 1, step) AS node_id, CAST(substr(code, step + 1, 1) AS INTEGER) AS bit,
+                    v.vector AS v, n.vector AS u
+             FROM pn JOIN initv v ON v.word = pn.context JOIN initn n ON n.node_id = substr(code, 1, step)),
+      gv AS (SELECT *, {_g(_dot('v', 'u'))} AS g FROM pv),
+      terms AS (SELECT node_id, context, list_transform(v, lambda a: (a::DOUBLE * g)::FLOAT) AS du,
+                       list_transform(u, lambda a: (a::DOUBLE * g)::FLOAT) AS dv FROM gv),
+      wterms AS (SELECT * FROM terms)"""
+
+CBOW_TERMS = f"""WITH {STEP_SQL},
+      nb AS (SELECT p.epoch, p.doc_id, p.line_no, p.chunk, p.target_pos, p.target,
+                    list(v.vector ORDER BY p.context_pos) AS vs
+             FROM pairs p JOIN initv v ON v.word = p.context GROUP BY ALL),
+      cc AS (SELECT epoch, doc_id, line_no, chunk, target_pos, target,
+                    list_transform(list_reduce(vs, lambda acc, v: list_transform(list_zip(acc, v), lambda p: (p[1] + p[2])::FLOAT)),
+                                   lambda x: (x::DOUBLE * (1.0 / len(vs)))::FLOAT) AS h FROM nb),
+      pn AS (SELECT cc.*, code, CAST(unnest(range(len(code))) AS INTEGER) AS step
+             FROM cc JOIN codes c ON c.word = cc.target),
+      pv AS (SELECT pn.*, substr(code, 1, step) AS node_id, CAST(substr(code, step + 1, 1) AS INTEGER) AS bit,
+                    n.vector AS u
+             FROM pn JOIN initn n ON n.node_id = substr(code, 1, step)),
+      gv AS (SELECT *, {_g(_dot('h', 'u'))} AS g FROM pv),
+      terms AS (SELECT *, list_transform(h, lambda a: (a::DOUBLE * g)::FLOAT) AS du,
+                       list_transform(u, lambda a: (a::DOUBLE * g)::FLOAT) AS e FROM gv),
+      err AS (SELECT epoch, doc_id, line_no, chunk, target_pos,
+                     list_reduce(list(e ORDER BY step), lambda acc, v: list_transform(list_zip(acc, v), lambda p: (p[1] + p[2])::FLOAT)) AS err
+              FROM terms GROUP BY ALL),
+      wterms AS (SELECT p.context, err.err FROM pairs p JOIN err USING (epoch, doc_id, line_no, chunk, target_pos))"""
+
+ORACLES.update({
+    "sigmoid": f"""SELECT vec_id, x, round({_sig('x')}, 6) AS f_table, round(1.0 / (1.0 + exp(-x)), 6) AS f_exact
+        FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) * 4 AS x FROM embeddings)""",
+    "hs_batch_step": _step_out(HS_TERMS, "du", "dv"),
+    "cbow_batch_step": _step_out(CBOW_TERMS, "du", "err"),
+})

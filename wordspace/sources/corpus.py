@@ -47,12 +47,24 @@ def lines_from_text(spark: SparkSession, path: str) -> DataFrame:
                     F.col("value").alias("line")))
 
 
+def lines_from_keyed_table(df: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
+    """Texts keyed by several columns (e.g. conversation, turn): ``doc_id``
+    is the text's rank in key order, from a two-level running count (no
+    single-task window, no assumption about key ranges)."""
+    from ..operators.prefix import running_sum
+    ranked = running_sum(df.select(*key_cols, text_col, F.lit(1).cast("long").alias("__one")),
+                         key_cols, "__one", "doc_id", inclusive=False)
+    return lines_from_table(ranked.select("doc_id", text_col), text_col, "doc_id")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def document_lines(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     """Corpus lines of one of the given text tables."""
+    if table == "conversations":
+        return lines_from_keyed_table(read_table(spark, sf_dir, table), ["conv_id", "turn"])
     ids = {"documents": ("doc_id", "text"), "benchmark": ("item_id", "text")}
     id_col, text_col = ids[table]
     return lines_from_table(read_table(spark, sf_dir, table).select(id_col, text_col),
