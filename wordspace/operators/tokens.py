@@ -14,8 +14,10 @@ TOKEN_DELIMITERS = r"[ \t\n\r\f]+"
 
 
 def token_array(line: Column) -> Column:
-    """Tokens of a line as an array; empty strings removed, no case folding."""
-    return F.filter(F.split(line, TOKEN_DELIMITERS), lambda t: t != F.lit(""))
+    """Tokens of a line as an array; empty strings removed, no case folding.
+    (``array_remove`` is code-generated; a lambda filter would be interpreted
+    per element.)"""
+    return F.array_remove(F.split(line, TOKEN_DELIMITERS), "")
 
 
 def tokenize(lines: DataFrame) -> DataFrame:
@@ -64,3 +66,15 @@ def in_vocab_tokens(tokens: DataFrame, vocab: DataFrame, with_freq: bool = False
     if with_freq:
         return lookup_join(tokens, vocab.select("word", "freq"), "word", "inner", weight="freq")
     return lookup_join(tokens, vocab.select("word", "freq"), "word", "left_semi", weight="freq")
+
+
+def corpus_stats(lines: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, int]:
+    """One pass over the corpus for jobs that reuse its statistics: the word
+    counts are aggregated once and checkpointed (reliably), then the corpus
+    size (sum of all counts) and the vocabulary (the cut) are read from them.
+    Returns ``(word_counts, vocabulary, corpus_size)``."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(lines.sparkSession)
+    wc = word_count(tokenize(lines)).checkpoint()
+    size = int(wc.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0])
+    return wc, wc.where(F.col("freq") >= F.lit(min_count)), size

@@ -81,12 +81,12 @@ def q_in_vocab_tokens(spark, sf):
 
 # ---- sampling and sentences
 
-def _corpus_size(spark, sf) -> int:
-    return int(tok.corpus_size(_lines(spark, sf)).first()[0])
-
-
-def _tokens_freq(spark, sf):
-    return tok.in_vocab_tokens(_tokens(spark, sf), _vocab(spark, sf), with_freq=True)
+def _stats(spark, sf):
+    """(lines, vocabulary, corpus size, in-vocabulary tokens with freq), the
+    word counts materialised once."""
+    lines = _lines(spark, sf)
+    _, vocab, c = tok.corpus_stats(lines, MIN_COUNT)
+    return lines, vocab, c, tok.in_vocab_tokens(tok.tokenize(lines), vocab, with_freq=True)
 
 
 def q_noise_distribution(spark, sf):
@@ -95,22 +95,24 @@ def q_noise_distribution(spark, sf):
 
 
 def q_keep_probability(spark, sf):
-    return smp.keep_probability(_vocab(spark, sf), _corpus_size(spark, sf), SAMPLE)
+    _, vocab, c, _ = _stats(spark, sf)
+    return smp.keep_probability(vocab, c, SAMPLE)
 
 
 def q_subsample(spark, sf):
-    return smp.subsample(_tokens_freq(spark, sf), _corpus_size(spark, sf), SAMPLE, SEED, 0) \
-              .select("doc_id", "line_no", "pos", "word")
+    _, _, c, tf = _stats(spark, sf)
+    return smp.subsample(tf, c, SAMPLE, SEED, 0).select("doc_id", "line_no", "pos", "word")
 
 
 def q_epoch_tokens(spark, sf):
-    return smp.epoch_tokens(_tokens_freq(spark, sf), _corpus_size(spark, sf), SAMPLE, SEED, EPOCHS)
+    _, _, c, tf = _stats(spark, sf)
+    return smp.epoch_tokens(tf, c, SAMPLE, SEED, EPOCHS)
 
 
 def _chunks(spark, sf, epochs=EPOCHS):
-    c = _corpus_size(spark, sf)
-    kept = smp.epoch_tokens(_tokens_freq(spark, sf), c, SAMPLE, SEED, epochs)
-    return sen.sentence_chunks(kept, sen.line_info(_lines(spark, sf)), c, MAX_LEN), c
+    lines, _, c, tf = _stats(spark, sf)
+    kept = smp.epoch_tokens(tf, c, SAMPLE, SEED, epochs)
+    return sen.sentence_chunks(kept, sen.line_info(lines), c, MAX_LEN), c
 
 
 def q_sentence_chunks(spark, sf):
@@ -225,8 +227,7 @@ def q_sigmoid(spark, sf):
 def _conv_setup(spark, sf):
     lines = corpus.document_lines(spark, sf, "conversations")
     toks = tok.tokenize(lines)
-    vocab = tok.vocabulary(toks, MIN_COUNT)
-    c = int(tok.corpus_size(lines).first()[0])
+    _, vocab, c = tok.corpus_stats(lines, MIN_COUNT)
     kept = smp.subsample(tok.in_vocab_tokens(toks, vocab, True), c, SAMPLE, SEED, 0) \
               .withColumn("epoch", F.lit(0))
     chunks = sen.sentence_chunks(kept, sen.line_info(lines), c, MAX_LEN)

@@ -23,14 +23,24 @@ def _line_array(text: Column) -> Column:
                   F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def lines_from_table(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def lines_from_table(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                     balance: bool = True) -> DataFrame:
     """Split every text of a table into lines: ``(doc_id long, line_no int, line string)``.
 
-    A per-row generator (no shuffle); NULL texts give no lines.
+    A per-row generator; NULL texts give no lines. With ``balance``, an input
+    read as fewer partitions than the cluster's default parallelism (a small
+    file with few row groups) has its lines spread round-robin over that many
+    partitions, so tokenising uses every core; a large input already has
+    more splits than cores and is left as it is (no shuffle).
     """
-    return (df.where(F.col(text_col).isNotNull())
-              .select(F.col(id_col).cast("long").alias("doc_id"),
-                      F.posexplode(_line_array(F.col(text_col))).alias("line_no", "line")))
+    out = (df.where(F.col(text_col).isNotNull())
+             .select(F.col(id_col).cast("long").alias("doc_id"),
+                     F.posexplode(_line_array(F.col(text_col))).alias("line_no", "line")))
+    if balance:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            out = out.repartition(par)
+    return out
 
 
 def lines_from_text(spark: SparkSession, path: str) -> DataFrame:
