@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 LINE_END_PATTERN = r"\r\n|\n|\r"
 
 
-def _line_array(text: Column) -> Column:
-    """Lines of one text; like a line reader, no row after a final line end
-    and none for an empty text."""
-    parts = F.split(text, LINE_END_PATTERN)
+def _line_array(parts: Column) -> Column:
+    """Lines of one text from its split ``parts``; like a line reader, no row
+    after a final line end and none for an empty text."""
     return F.when(F.element_at(parts, -1) == F.lit(""),
                   F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
@@ -33,9 +32,11 @@ def lines_from_table(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     partitions, so tokenising uses every core; a large input already has
     more splits than cores and is left as it is (no shuffle).
     """
+    # the split gets its own projection so it is computed once per text
     out = (df.where(F.col(text_col).isNotNull())
              .select(F.col(id_col).cast("long").alias("doc_id"),
-                     F.posexplode(_line_array(F.col(text_col))).alias("line_no", "line")))
+                     F.split(F.col(text_col), LINE_END_PATTERN).alias("__parts"))
+             .select("doc_id", F.posexplode(_line_array(F.col("__parts"))).alias("line_no", "line")))
     if balance:
         par = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < par:
