@@ -188,3 +188,15 @@ def test_g14_edges(spark):
         nearest.nearest(model, qa, 0)
     with pytest.raises(ValueError):
         sentences.window_width_col(1, 0, F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0))
+
+
+def test_kernel_gradient_lookup_equals_table_rule():
+    from wordspace.operators.hsoftmax import _GOFF, _gradients
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.uniform(-8, 8, 20000), [-7.0, 5.999, 6.0, 7.5, 0.0]])
+    for bit in (0, 1):
+        off = np.full(len(x), 0 if bit == 1 else _GOFF, dtype=np.intp)
+        g = _gradients(x, off, 0.05)
+        f = sigmoid_np(x)
+        want = np.where((f == 0.0) | (f == 1.0), 0.0, (1 - bit - f) * 0.05)
+        assert np.allclose(g, want, atol=1e-12)
