@@ -54,9 +54,13 @@ def vocabulary(tokens: DataFrame, min_count: int = 5) -> DataFrame:
 
 
 def vocab_summary(lines: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row: ``corpus_size``, ``vocab_size``."""
-    return corpus_size(lines).crossJoin(  # two one-row aggregates side by side
-        vocab.agg(F.count(F.lit(1)).alias("vocab_size")))
+    """One row: ``corpus_size``, ``vocab_size``: the two one-row aggregates
+    are stacked (union) and folded by one more aggregate -- no join."""
+    a = corpus_size(lines).select("corpus_size", F.lit(None).cast("long").alias("vocab_size"))
+    b = vocab.agg(F.lit(None).cast("long").alias("corpus_size"),
+                  F.count(F.lit(1)).alias("vocab_size"))
+    return a.unionByName(b).agg(F.max("corpus_size").alias("corpus_size"),
+                                F.coalesce(F.max("vocab_size"), F.lit(0)).alias("vocab_size"))
 
 
 def in_vocab_tokens(tokens: DataFrame, vocab: DataFrame, with_freq: bool = False) -> DataFrame:
