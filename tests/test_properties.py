@@ -101,3 +101,23 @@ def test_lookup_join_hot_split_equals_plain_join(spark):
     split = sorted(lookup_join(big, keyed, "word", "inner", weight="freq", broadcast_bytes=0,
                                max_hot_keys=10).select(*plain[0].asDict().keys()).collect())
     assert plain == split
+
+
+def test_nearest_all_blas_ranks_like_exact(spark):
+    from wordspace.operators import nearest
+    m = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector"))
+    a = sorted((r.query, r.rank, r.word) for r in nearest.nearest_all(m, 5, "cosine", 128).collect())
+    b = sorted((r.query, r.rank, r.word)
+               for r in nearest.nearest_all(m, 5, "cosine", 128, exact=False).collect())
+    assert a == b and len(a) == 5 * m.count()
+
+
+def test_nearest_broadcast_and_blocked_paths_agree(spark):
+    from wordspace.operators import nearest
+    m = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector"))
+    q = m.select(F.col("word").alias("query"))
+    a = sorted(nearest.nearest(m, q, 7, "dot").collect())
+    b = sorted(nearest.nearest(m, q, 7, "dot", broadcast_bytes=0, block_rows=100).collect())
+    assert a == b
