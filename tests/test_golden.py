@@ -200,3 +200,18 @@ def test_kernel_gradient_lookup_equals_table_rule():
         f = sigmoid_np(x)
         want = np.where((f == 0.0) | (f == 1.0), 0.0, (1 - bit - f) * 0.05)
         assert np.allclose(g, want, atol=1e-12)
+
+
+def test_text_file_sources(spark, tmp_path):
+    from wordspace.sources.corpus import lines_from_text
+    from wordspace.sources.vocab_text import write_vocab_text
+    p = tmp_path / "corpus.txt"
+    p.write_text("a b a c\nb a d\n\n")
+    lines = lines_from_text(spark, str(p))
+    toks = tokens.tokenize(lines)
+    assert tokens.corpus_size(lines).first()[0] == 7
+    vocab = tokens.vocabulary(toks, 2)
+    out = str(tmp_path / "vocab")
+    write_vocab_text(vocab, out)
+    got = sorted(r["value"] for r in spark.read.text(out).collect())
+    assert got == ["a\t3", "b\t2"]
