@@ -10,7 +10,7 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
-from tools.oracle_check import TABLES, digest
+from tools.oracle_check import TABLES, digest, type_mismatches
 
 SLOW = {"hs_batch_step", "cbow_batch_step"}  # covered at sf0.01 by tools/oracle_check.py
 
@@ -29,10 +29,11 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[name])
-    ocols = [d[0] for d in res.description]
-    orows = res.fetchall()
+    rel = con.sql(E.oracle_sql()[name])
+    ocols, otypes = rel.columns, rel.types
+    orows = rel.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    assert type_mismatches(df.dtypes, ocols, otypes) == []
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)
 

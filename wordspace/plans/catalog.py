@@ -580,14 +580,14 @@ ranked AS (
 chunks AS (
   SELECT r.epoch, r.doc_id, r.line_no, r.chunk, list(r.word ORDER BY r.pos) AS words,
          CAST(count(*) AS INTEGER) AS n_words,
-         r.epoch * (SELECT c FROM cs) + i.line_base +
-           CASE WHEN count(*) = {MAX_LEN} THEN max(r.pos) + 1 ELSE i.n_tokens END AS tokens_seen
+         CAST(r.epoch * (SELECT c FROM cs) + i.line_base +
+           CASE WHEN count(*) = {MAX_LEN} THEN max(r.pos) + 1 ELSE i.n_tokens END AS BIGINT) AS tokens_seen
   FROM ranked r JOIN info i USING (doc_id, line_no)
   GROUP BY r.epoch, r.doc_id, r.line_no, r.chunk, i.line_base, i.n_tokens
 ),
 targets AS (
   SELECT epoch, doc_id, line_no, chunk, words, target_pos, words[target_pos + 1] AS target,
-         {WINDOW} - {_int8(f"'{SEED}|window|' || epoch || '|' || doc_id || '|' || line_no || '|' || chunk || '|' || target_pos", WINDOW)} AS width
+         CAST({WINDOW} - {_int8(f"'{SEED}|window|' || epoch || '|' || doc_id || '|' || line_no || '|' || chunk || '|' || target_pos", WINDOW)} AS INTEGER) AS width
   FROM (SELECT *, CAST(unnest(range(len(words))) AS INTEGER) AS target_pos FROM chunks WHERE epoch = 0)
 ),
 pairs AS (
