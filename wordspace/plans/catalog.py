@@ -182,7 +182,9 @@ def q_huffman_paths(spark, sf):
 
 
 def q_huffman_cost(spark, sf):
-    return hf.huffman_cost(hf.huffman_codes(_vocab(spark, sf)))
+    """Total coded length (the same for every optimal code) and word count;
+    the longest code depends on ties, so it is not part of the checked row."""
+    return hf.huffman_cost(hf.huffman_codes(_vocab(spark, sf))).select("cost", "n_words")
 
 
 # ---- training (rows-only checks; properties in tests/)
@@ -723,3 +725,27 @@ ORACLES.update({
     "hs_batch_step": _step_out(HS_TERMS, "du", "dv"),
     "cbow_batch_step": _step_out(CBOW_TERMS, "du", "err"),
 })
+
+
+# Optimal Huffman cost by the two-queue method (leaves ascending, merged
+# weights appear in ascending order): a recursive CTE whose state keeps only
+# the queue of merged weights not yet taken.
+HUFFMAN_COST_SQL = "WITH RECURSIVE " + VOCAB_SQL.lstrip() + """,
+leaves AS (SELECT list(freq ORDER BY freq) AS l, count(*) AS v FROM vocab),
+h(step, i, m, cost) AS (
+  SELECT 0, 1, []::BIGINT[], 0::BIGINT
+  UNION ALL
+  SELECT step + 1, i2 + CASE WHEN b_from_l THEN 1 ELSE 0 END,
+         list_append(m[1 + ka + CASE WHEN b_from_l THEN 0 ELSE 1 END:], a + b), cost + a + b
+  FROM (SELECT h.*, leaves.l, leaves.v,
+               (i <= leaves.v AND (len(m) < 1 OR leaves.l[i] <= m[1])) AS a_from_l
+        FROM h, leaves WHERE step < leaves.v - 1) s1,
+  LATERAL (SELECT CASE WHEN a_from_l THEN l[i] ELSE m[1] END AS a,
+                  CASE WHEN a_from_l THEN i + 1 ELSE i END AS i2,
+                  CASE WHEN a_from_l THEN 0 ELSE 1 END AS ka) p1,
+  LATERAL (SELECT (i2 <= v AND (len(m) < ka + 1 OR l[i2] <= m[ka + 1])) AS b_from_l) p2,
+  LATERAL (SELECT CASE WHEN b_from_l THEN l[i2] ELSE m[ka + 1] END AS b) p3
+)
+SELECT (SELECT cost FROM h ORDER BY step DESC LIMIT 1) AS cost, (SELECT count(*) FROM vocab) AS n_words"""
+
+ORACLES["huffman_cost"] = HUFFMAN_COST_SQL
