@@ -749,3 +749,46 @@ h(step, i, m, cost) AS (
 SELECT (SELECT cost FROM h ORDER BY step DESC LIMIT 1) AS cost, (SELECT count(*) FROM vocab) AS n_words"""
 
 ORACLES["huffman_cost"] = HUFFMAN_COST_SQL
+
+
+# Huffman codes by the same two-queue procedure, recording each step's picks:
+# leaves (ascending freq, then word) before merged nodes on equal weight,
+# merged nodes first-in first-out, first pick = bit 0. This is the tie rule of
+# operators/huffman.py, so codes must agree exactly. Codes are then assigned
+# from the root down.
+HUFFMAN_TREE_SQL = "WITH RECURSIVE " + VOCAB_SQL.lstrip() + """,
+lv AS (SELECT word, freq, row_number() OVER (ORDER BY freq, word) AS li FROM vocab),
+leaves AS (SELECT list(freq ORDER BY li) AS l, count(*) AS v FROM lv),
+h(step, i, mj, m, a_l, a_id, b_l, b_id) AS (
+  SELECT 0, 1, 0, []::BIGINT[], NULL::BOOLEAN, NULL::BIGINT, NULL::BOOLEAN, NULL::BIGINT
+  UNION ALL
+  SELECT step + 1, i2 + CASE WHEN b_from_l THEN 1 ELSE 0 END,
+         mj + ka + CASE WHEN b_from_l THEN 0 ELSE 1 END,
+         list_append(m[1 + ka + CASE WHEN b_from_l THEN 0 ELSE 1 END:], a + b),
+         a_from_l, CASE WHEN a_from_l THEN i ELSE mj END,
+         b_from_l, CASE WHEN b_from_l THEN i2 ELSE mj + ka END
+  FROM (SELECT h.step, h.i, h.mj, h.m, leaves.l, leaves.v,
+               (h.i <= leaves.v AND (len(h.m) < 1 OR leaves.l[h.i] <= h.m[1])) AS a_from_l
+        FROM h, leaves WHERE h.step < leaves.v - 1) s1,
+  LATERAL (SELECT CASE WHEN a_from_l THEN l[i] ELSE m[1] END AS a,
+                  CASE WHEN a_from_l THEN i + 1 ELSE i END AS i2,
+                  CASE WHEN a_from_l THEN 0 ELSE 1 END AS ka) p1,
+  LATERAL (SELECT (i2 <= v AND (len(m) < ka + 1 OR l[i2] <= m[ka + 1])) AS b_from_l) p2,
+  LATERAL (SELECT CASE WHEN b_from_l THEN l[i2] ELSE m[ka + 1] END AS b) p3
+),
+tree AS (SELECT step - 1 AS node, a_l, a_id, b_l, b_id FROM h WHERE step > 0),
+walk(is_leaf, id, code) AS (
+  SELECT false, max(node), '' FROM tree
+  UNION ALL
+  SELECT CASE WHEN bit.b = 0 THEN t.a_l ELSE t.b_l END,
+         CASE WHEN bit.b = 0 THEN t.a_id ELSE t.b_id END,
+         w.code || CAST(bit.b AS VARCHAR)
+  FROM walk w JOIN tree t ON NOT w.is_leaf AND t.node = w.id, (VALUES (0), (1)) bit(b)
+),
+hcodes AS (SELECT lv.word, lv.freq, w.code, CAST(len(w.code) AS INTEGER) AS code_len
+           FROM walk w JOIN lv ON w.is_leaf AND lv.li = w.id)"""
+
+ORACLES["huffman_codes"] = HUFFMAN_TREE_SQL + " SELECT * FROM hcodes"
+ORACLES["huffman_paths"] = HUFFMAN_TREE_SQL + """,
+steps AS (SELECT word, code, CAST(unnest(range(len(code))) AS INTEGER) AS step FROM hcodes)
+SELECT word, step, substr(code, 1, step) AS node_id, CAST(substr(code, step + 1, 1) AS INTEGER) AS bit FROM steps"""
