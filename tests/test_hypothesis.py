@@ -1,0 +1,69 @@
+"""Randomised properties (hypothesis): line reader and tokenizer against a
+plain-Python model of the original rules, Huffman merge against a heap."""
+
+import heapq
+import re
+from collections import Counter
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from conftest import lines_df
+from wordspace.operators import huffman, tokens
+
+ALPHABET = "abé \t\n\r\f\x0b"
+
+
+def read_lines(text):
+    """Line reader model: ends are \\r\\n, \\n or \\r; no line after a final end."""
+    out, cur, i = [], [], 0
+    while i < len(text):
+        ch = text[i]
+        if ch in "\r\n":
+            out.append("".join(cur))
+            cur = []
+            if ch == "\r" and i + 1 < len(text) and text[i + 1] == "\n":
+                i += 1
+        else:
+            cur.append(ch)
+        i += 1
+    if cur:
+        out.append("".join(cur))
+    return out
+
+
+def split_tokens(line):
+    return [t for t in re.split("[ \t\n\r\f]+", line) if t]
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=40), min_size=50, max_size=50))
+def test_lines_and_tokens_match_reader_model(spark, texts):
+    lines = lines_df(spark, texts)
+    got_lines = sorted((r["doc_id"], r["line_no"], r["line"]) for r in lines.collect())
+    want_lines = sorted((d, i, l) for d, t in enumerate(texts) for i, l in enumerate(read_lines(t)))
+    assert got_lines == want_lines
+    got_toks = sorted((r["doc_id"], r["line_no"], r["pos"], r["word"]) for r in tokens.tokenize(lines).collect())
+    want_toks = sorted((d, i, p, w) for d, i, l in want_lines for p, w in enumerate(split_tokens(l)))
+    assert got_toks == want_toks
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(min_value=1, max_value=50), min_size=2, max_size=300))
+def test_run_merge_is_an_optimal_prefix_code(freqs):
+    fr, starts, log = huffman.merge_runs(list(Counter(freqs).items()))
+    f = np.sort(np.array(freqs))
+    cls = np.searchsorted(fr, f)
+    codes = huffman.resolve_codes(cls, np.arange(len(f)) - starts[cls], log)
+    assert sum(2.0 ** -len(c) for c in codes) == 1.0
+    s = sorted(codes)
+    assert all(not s[i + 1].startswith(s[i]) for i in range(len(s) - 1))
+    h = list(int(x) for x in f)
+    heapq.heapify(h)
+    cost = 0
+    while len(h) > 1:
+        a, b = heapq.heappop(h), heapq.heappop(h)
+        cost += a + b
+        heapq.heappush(h, a + b)
+    assert sum(int(a) * len(c) for a, c in zip(f, codes)) == cost
