@@ -274,9 +274,12 @@ def raw_model(spark, sf):
                                   F.col("embedding").alias("vector"))
 
 
-def text_model(spark, sf, normalize=True):
-    """The embeddings written as model text lines and read back (O3 -> O4)."""
-    return model_text.parse_model_lines(model_text.model_lines(raw_model(spark, sf)), normalize)
+def text_model(spark, sf, normalize=True, store=False):
+    """The embeddings written as model text lines and read back (O3 -> O4).
+    ``store`` keeps the loaded model (reliable checkpoint) for queries that
+    scan it several times, as a loaded model would be kept."""
+    m = model_text.parse_model_lines(model_text.model_lines(raw_model(spark, sf)), normalize)
+    return m.checkpoint() if store else m
 
 
 def q_vector_norm(spark, sf):
@@ -336,7 +339,7 @@ def _all_words(model):
 
 
 def q_nearest_dot(spark, sf):
-    m = text_model(spark, sf, True)
+    m = text_model(spark, sf, True, store=True)
     return nn.nearest(m, _all_words(m), TOP_N, "dot")
 
 
@@ -359,11 +362,11 @@ def _triples(spark, sf):
 
 
 def q_analogy(spark, sf):
-    return nn.analogy(text_model(spark, sf, True), _triples(spark, sf), TOP_N)
+    return nn.analogy(text_model(spark, sf, True, store=True), _triples(spark, sf), TOP_N)
 
 
 def q_nearest_report(spark, sf):
-    m = text_model(spark, sf, True)
+    m = text_model(spark, sf, True, store=True)
     return nn.report_lines(nn.nearest(m, _all_words(m), REPORT_N, "dot"))
 
 
