@@ -7,10 +7,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash
+from . import line_dedup, mixing, sharding, simhash
 from .common import read
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 3, 1, 2 in turn and share 150 % of all words, two passes at most."""
+    mix = mixing.mix_sources(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeat=2)
+    return mixing.taken(mix)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least 5 documents share go, except in the largest doc_id."""
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -36,11 +42,18 @@ FROM marked GROUP BY r
 """
 
 
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 runs of equal counts along the curve."""
+    out = sharding.hilbert_shards(read(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over 3-word shingles, linked at 3 or fewer differing bits."""
     out = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, max_bits=3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_line_dedup, op9_hilbert_shards, op10_simhash)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
