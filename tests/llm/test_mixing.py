@@ -1,0 +1,132 @@
+"""Targets against plain resharing; the mix takes each word as often as it says."""
+
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from wordspace.llm.mixing import fill, mix_sources, mixed_texts, permuted, split_quotas, taken
+
+
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, repeat=2):
+    w = [weights[i % 3] for i in range(len(sizes))]
+    cap = [repeat * s for s in sizes]
+    t = [0.0] * len(sizes)
+    left, open_ = share * sum(sizes), set(range(len(sizes)))
+    while open_:
+        tot = sum(w[i] for i in open_)
+        over = {i for i in open_ if left * w[i] / tot > cap[i]}
+        for i in over or open_:
+            t[i] = cap[i] if over else left * w[i] / tot
+        if not over:
+            break
+        left -= sum(cap[i] for i in over)
+        open_ -= over
+    return t
+
+
+def test_targets():
+    for sizes in ([10, 10, 10], [1000, 1, 5, 0], [0, 0], [5], [], [300, 2000, 10, 40, 41]):
+        got, want = fill(sizes, (3, 1, 2), 1.5, 2), plain_targets(sizes)
+        assert np.allclose(got, want)
+        assert abs(sum(got) - 1.5 * sum(sizes)) < 1e-6 and all(t <= 2 * s + 1e-9 for t, s in zip(got, sizes))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_permutation(n):
+    got = permuted(np.arange(n), n, 12)
+    assert sorted(got) == list(range(n))
+    assert n < 64 or (got != np.arange(n)).mean() > 0.9
+
+
+def test_splitting_tree_is_exact_and_the_same_from_any_task():
+    quotas, shards = np.array([40, 0, 7, 113]), 9
+    whole = list(split_quotas(quotas, shards, 0, shards, 5))
+    parts = [x for a in range(0, shards, 2) for x in split_quotas(quotas, shards, a, min(a + 2, shards), 5)]
+    assert [w[0] for w in whole] == list(range(shards))
+    for (k, q, s), (k2, q2, s2) in zip(whole, parts):
+        assert k == k2 and (q == q2).all() and (s == s2).all()
+    assert (sum(q for _, q, _ in whole) == quotas).all()
+    at = np.zeros(4, dtype=int)
+    for _, q, s in whole:
+        assert (s == at).all()
+        at = at + q
+    assert max(q.sum() for _, q, _ in whole) - min(q.sum() for _, q, _ in whole) <= 1
+
+
+def corpus():
+    rows = []
+    for i in range(90):
+        src = ["a", "a", "é", None, "z", "b"][i % 6]
+        rows.append((i, src, None if i % 17 == 0 else "  " * (i % 2) + " ".join(f"w{i}_{j}" for j in range(i * 3 % 50)), "x"))
+    rows += [(500, "a", "twice the same row", "x")] * 2 + [(None, "b", "no id here", "x"), (501, "only blank", " \t ", "x")]
+    return rows
+
+
+SCHEMA = "doc_id long, source string, text string, target string"
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_mix_takes_the_targets_in_disjoint_blocks(frame):
+    rows = corpus()
+    df = frame(rows, SCHEMA)
+    mix = mix_sources(df, block_words=16, shard_blocks=8)
+    got = taken(mix).collect()
+    by = defaultdict(int)
+    for _, s, t, _ in rows:
+        by[s] += len(words(t))
+    names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    want = dict(zip(names, plain_targets([by[s] for s in names])))
+    assert len(got) == len(rows)
+    source = {(d, len(words(t))): s for d, s, t, _ in rows}
+    sums = Counter()
+    for r in got:
+        s = source[r.doc_id, r["size"]]
+        assert r.source_size == by[s] and abs(r.target - want[s]) < 1e-6 and 0 <= r.taken <= 2 * r["size"]
+        sums[s] += r.taken
+    assert all(abs(sums[s] - want[s]) <= 1 for s in names)
+    pieces = mix.pieces.collect()
+    assert mix.shards > 3 and {p.shard for p in pieces} <= set(range(mix.shards))
+    by_doc = defaultdict(list)
+    for p in pieces:
+        by_doc[p.source_no, p["at"], p["copy"]].append((p.word_from, p.word_to))
+        assert 0 <= p.word_from < p.word_to <= p["size"]
+    for spans in by_doc.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    blocks = defaultdict(set)
+    for p in pieces:
+        blocks[p.source_no, p.block].add(p.shard)
+    assert all(len(x) == 1 for x in blocks.values())
+    for k in range(mix.shards):
+        own = sorted(p.place for p in pieces if p.shard == k)
+        assert own == list(range(len(own)))
+    again = taken(mix_sources(df.repartition(7), block_words=16, shard_blocks=8)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_mixed_texts_hold_the_words_taken(frame):
+    rows = corpus()
+    df = frame(rows, SCHEMA)
+    mix = mix_sources(df, block_words=16)
+    out = mixed_texts(df, mix)
+    assert out.columns == df.columns
+    n = Counter()
+    text = {d: t for d, _, t, _ in rows}
+    for r in out.collect():
+        n[r.doc_id] += len(words(r.text))
+        assert text[r.doc_id].startswith(r.text)
+    want = Counter()
+    for r in taken(mix).collect():
+        want[r.doc_id] += r.taken
+    assert +n == +want
+
+
+def test_empty_table_and_no_words(spark, frame):
+    assert taken(mix_sources(spark.createDataFrame([], "doc_id long, source string, text string"))).collect() == []
+    got = taken(mix_sources(frame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string"))).collect()
+    assert [(r["size"], r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2

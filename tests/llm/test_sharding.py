@@ -1,0 +1,57 @@
+"""The curve is a bijection whose neighbours touch; shards against a plain sort."""
+
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from wordspace.llm.sharding import hilbert_index, hilbert_shards, write_shards
+
+
+def test_curve_visits_every_cell_by_unit_steps(spark):
+    grid = spark.range(512).select(*[F.shiftright("id", 3 * i).bitwiseAND(F.lit(7).cast("long")).alias(c) for i, c in enumerate("abc")])
+    rows = sorted((r.h, r.a, r.b, r.c) for r in hilbert_index(grid, ["a", "b", "c"], 3, "h").collect())
+    assert [r[0] for r in rows] == list(range(512))
+    assert all(sum(abs(x - y) for x, y in zip(p[1:], q[1:])) == 1 for p, q in zip(rows, rows[1:]))
+
+
+def docs(n):
+    return [(i if i % 11 else None, [None, "en", "de", "fr"][i % 4], None if i % 13 == 0 else f"src{i % 30}",
+             [None, "", "é" * (i * 7), "same"][i % 4], i) for i in range(n)]
+
+
+def test_runs_of_equal_counts_along_the_curve(frame):
+    for n, shards in ((101, 24), (7, 24), (50, 1)):
+        rows = docs(n)
+        got = hilbert_shards(frame(rows, "doc_id long, lang string, source string, text string, shard int"), shards).collect()
+        assert Counter((r.doc_id, r.lang, r.source, r.size, r.text_crc32) for r in got) == Counter(
+            (d, l, s, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, l, s, t, _ in rows)
+        sizes = Counter(r.shard for r in got)
+        assert set(sizes) <= set(range(shards)) and max(sizes.values()) - min([sizes[k] for k in range(shards)]) <= 1
+        for k in sizes:
+            assert sorted(r.slot for r in got if r.shard == k) == list(range(sizes[k]))
+        line = [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+        assert line == sorted(line)
+
+
+def test_equal_rows_and_hot_cell_are_spread_and_whole(frame):
+    rows = [(1, "en", "s", "copy")] * 900 + [(i, "de", None, "x" * i) for i in range(300)]
+    got = hilbert_shards(frame(rows, "doc_id long, lang string, source string, text string"), 24).collect()
+    assert Counter(r.shard for r in got) == dict.fromkeys(range(24), 50)
+    assert len({(r.shard, r.slot) for r in got}) == 1200
+
+
+def test_empty_table_and_written_files(frame, spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, lang string, source string, text string")
+    assert hilbert_shards(empty).collect() == []
+    out = hilbert_shards(frame(docs(100), "doc_id long, lang string, source string, text string, i int"), 5)
+    write_shards(out, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert back.count() == 100 and back.select("shard").distinct().count() == 5
+
+
+def test_dimension_with_many_values(frame, monkeypatch):
+    from wordspace.llm import sharding
+    monkeypatch.setattr(sharding, "MAX_VALUES", 3)
+    got = hilbert_shards(frame(docs(80), "doc_id long, lang string, source string, text string, i int"), 4).collect()
+    assert Counter(r.shard for r in got) == dict.fromkeys(range(4), 20)
