@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, sharding, simhash
+from . import line_dedup, mixing, quality, sharding, simhash
 from .common import read
+from .labelled import held_out
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,13 @@ FROM marked GROUP BY r
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules learnt from ids outside fold 1 of 3, applied to every text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, read(spark, sf_dir, "labels"), "quality", folds=3, fold=1)
+    return quality.score_quality(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 runs of equal counts along the curve."""
     out = sharding.hilbert_shards(read(spark, sf_dir, "documents"), shards=24)
@@ -55,5 +63,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_line_dedup, op9_hilbert_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_line_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
