@@ -7,11 +7,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, sharding, simhash
+from . import line_dedup, mixing, quality, sharding, simhash, toxicity
 from .common import read
 from .labelled import held_out
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model learnt from ids outside fold 0 of 5, applied to every text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"), "toxic", folds=5, fold=0)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 3, 1, 2 in turn and share 150 % of all words, two passes at most."""
     mix = mixing.mix_sources(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeat=2)
@@ -63,5 +71,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_line_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mix_sources, op5_line_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
