@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, sharding, simhash, toxicity
+from . import line_dedup, mixing, quality, sharding, simhash, topk, toxicity
 from .common import read
 from .labelled import held_out
 
@@ -26,6 +26,25 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mix)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest inner products of every row whose vec_id 50 divides."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least 5 documents share go, except in the largest doc_id."""
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -71,5 +90,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mix_sources, op5_line_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
-ORACLES = {"op5_line_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mix_sources, op4_top_k, op5_line_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
+ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL}
