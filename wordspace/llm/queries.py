@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from . import line_dedup, mixing, quality, sharding, simhash, topk, toxicity, vector_dedup
 from .common import read
 from .labelled import held_out
 
@@ -70,6 +70,30 @@ FROM marked GROUP BY r
 """
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.95 or more."""
+    found = vector_dedup.keep_one(vector_dedup.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.95))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counted ON counted.a = vec_id
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules learnt from ids outside fold 1 of 3, applied to every text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,5 +114,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mix_sources, op4_top_k, op5_line_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
-ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
+ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_vector_dedup": OP6_SQL}
