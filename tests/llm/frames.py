@@ -1,3 +1,5 @@
+"""Fixture of the tests in this folder."""
+
 import pytest
 
 

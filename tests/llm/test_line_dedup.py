@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from frames import frame  # noqa: F401
 from wordspace.llm.line_dedup import PerfectHash, ShardedIndex, dedup_lines
 
 BLANKS = " \t\n\x0b\x0c\r"

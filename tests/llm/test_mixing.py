@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from frames import frame  # noqa: F401
 from wordspace.llm.mixing import fill, mix_sources, mixed_texts, permuted, split_quotas, taken
 
 

@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter
 
+from frames import frame  # noqa: F401
 from pyspark.sql import functions as F
 
 from wordspace.llm.sharding import hilbert_index, hilbert_shards, write_shards

@@ -6,6 +6,7 @@ import re
 import pytest
 import xxhash
 
+from frames import frame  # noqa: F401
 from wordspace.llm import simhash
 
 
