@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, sharding, simhash, topk, toxicity, vector_dedup
+from . import line_dedup, mixing, packing, quality, sharding, simhash, topk, toxicity, vector_dedup
 from .common import read
 from .labelled import held_out
 
@@ -20,6 +20,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op2_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids as packed matrices of rows of 2048."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), row_tokens=2048)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 3, 1, 2 in turn and share 150 % of all words, two passes at most."""
     mix = mixing.mix_sources(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeat=2)
@@ -114,5 +119,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pack_tokens, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
 ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_vector_dedup": OP6_SQL}
