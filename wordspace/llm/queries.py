@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, sharding, simhash, topk, toxicity, vector_dedup
+from . import line_dedup, mixing, packing, pieces, quality, sharding, simhash, topk, toxicity, vector_dedup
 from .common import read
 from .labelled import held_out
 
@@ -106,6 +106,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, and whether they decode to the text again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs))
+    return both.select("doc_id", F.size("ids").alias("n_ids"), "ids",
+                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 runs of equal counts along the curve."""
     out = sharding.hilbert_shards(read(spark, sf_dir, "documents"), shards=24)
@@ -119,5 +127,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pack_tokens, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op9_hilbert_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pack_tokens, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op8_sentencepiece, op9_hilbert_shards, op10_simhash)}
 ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_vector_dedup": OP6_SQL}
