@@ -9,17 +9,17 @@ vectors of a bounded sample puts most of a product into the first coordinates.
 2. A (block, chunk) cell is opened only if the longest query times the longest candidate
    can reach the block's smallest threshold. Queries are sent to the cells in packed
    blocks, never to all rows of a chunk one by one.
-3. In a cell, candidates come by descending length. The product of the first rotated
+3. In a cell, candidates come by descending length. A partial sum over the first rotated
    coordinates plus the product of what is left of both lengths (Cauchy-Schwarz) bounds
-   each score; only pairs whose bound reaches the query's threshold are multiplied out in
-   exact whole numbers, and the threshold rises on the way.
+   each score; partial sums grow while the bound reaches the query's threshold. The pairs
+   left are multiplied out in exact whole numbers, and the threshold rises on the way.
 4. Each cell returns k rows a query; the best k over the cells are the answer.
 
 Defined results: rows that are null, or hold a null or a component that is not finite,
 take no part, nor do rows without an id. Rows of one id are one vector, the least of
 them. Vectors of another length than the query's are no candidates of it. Ties go to the
 smaller id. Products beyond 2**53 are computed in unbounded whole numbers and held at the
-ends of a long. An empty table, or one without queries, gives an empty result.
+ends of a long, where they tie. An empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,33 +107,43 @@ class Best:
 
 
 def search(queries: tuple[np.ndarray, np.ndarray], cands: tuple[np.ndarray, np.ndarray], rotation: np.ndarray,
-           start: np.ndarray, k: int, head: int) -> tuple[Best, int]:
+           start: np.ndarray, k: int) -> tuple[Best, int]:
     """The best k candidates of each query that can be among its best k overall, given the
-    thresholds ``start``; and how many pairs were multiplied out. ``head`` rotated
-    coordinates make the partial sums."""
+    thresholds ``start``; and how many pairs were multiplied out. Partial sums grow by an
+    eighth or a quarter of the rotated coordinates; pairs that cannot reach the threshold
+    any more are closed on the way."""
     (qid, q), (cid, c) = queries, cands
-    best, opened = Best(len(qid), k), 0
+    best, opened, dim = Best(len(qid), k), 0, rotation.shape[0]
     q_len, c_len = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     order = np.argsort(-c_len, kind="stable")
     cid, c, c_len = cid[order], c[order], c_len[order]
     q_rot, c_rot = q @ rotation, c @ rotation
-    q_rest, c_rest = (np.sqrt((x[:, head:] ** 2).sum(1)) for x in (q_rot, c_rot))
+    heads = sorted({max(1, dim * i // 8) for i in (2, 4, 6, 7)})
+    q_rest, c_rest = ([np.sqrt((x[:, h:] ** 2).sum(1)) for h in heads] for x in (q_rot, c_rot))
     limit = start
     for at in range(0, len(cid), STEP):
-        part = slice(at, at + STEP)
         # doubles err by far less than this
         slack = 1e-9 * (1 + q_len * c_len[at])
-        live = np.flatnonzero(q_len * c_len[at] + slack >= limit)
-        if not len(live):
+        rows = np.flatnonzero(q_len * c_len[at] + slack >= limit)
+        if not len(rows):
             break  # all further candidates are no longer
-        bound = q_rot[live, :head] @ c_rot[part, :head].T + np.outer(q_rest[live], c_rest[part])
-        qi, ci = np.nonzero(bound + slack[live, None] >= limit[live, None])
-        qi, ci = live[qi], ci + at
+        cols = np.arange(at, min(at + STEP, len(cid)))
+        part, done = np.zeros((len(rows), len(cols))), 0
+        for h, qr, cr in zip(heads, q_rest, c_rest):
+            part += q_rot[rows, done:h] @ c_rot[cols, done:h].T
+            live = part + np.outer(qr[rows], cr[cols]) >= (limit - slack)[rows, None]
+            up, across = live.any(axis=1), live.any(axis=0)
+            rows, cols, part, live, done = rows[up], cols[across], part[np.ix_(up, across)], live[np.ix_(up, across)], h
+        qi, ci = np.nonzero(live)
+        qi, ci = rows[qi], cols[ci]
         other = qid[qi] != cid[ci]
         qi, ci = qi[other], ci[other]
         opened += len(qi)
-        score = np.concatenate([_exact(q[qi[i:i + 65_536]], c[ci[i:i + 65_536]]) for i in range(0, len(qi), 65_536)] or [np.zeros(0, np.int64)])
-        best.add(qi, score, cid[ci])
+        for i in range(0, len(qi), 32_768):
+            a, b = qi[i:i + 32_768], ci[i:i + 32_768]
+            score = _exact(q[a], c[b])
+            reach = score >= (limit - slack)[a]
+            best.add(a[reach], score[reach], cid[b[reach]])
         limit = np.maximum(limit, best.threshold())
     return best, opened
 
@@ -170,8 +180,6 @@ def _top_k_of(rows: DataFrame, n: int, is_query: Column, k: int, scale: float, c
     sample = _whole([r["v"] for r in fit], scale)
     sample /= np.abs(sample).max(initial=1.0)
     rotation = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]  # right singular vectors, largest first
-    dim = rotation.shape[0]
-    head = max(1, dim // 4)
     longest = rows.orderBy(F.desc("len"), "id").limit(max(HEAD_ROWS, 4 * k)).select("id", "v").collect()
     top = (np.array([r["id"] for r in longest]), _whole([r["v"] for r in longest], scale))
 
@@ -203,7 +211,7 @@ def _top_k_of(rows: DataFrame, n: int, is_query: Column, k: int, scale: float, c
         for b in batches:
             for block, q_len in zip(b["q"], b["q_len"]):
                 ids, q = _unpack(block)
-                limit = search((ids, q), top, rotation, np.full(len(ids), -np.inf), k, head)[0].threshold()
+                limit = search((ids, q), top, rotation, np.full(len(ids), -np.inf), k)[0].threshold()
                 reach = [c for c, c_len in lens if not q_len * c_len * (1 + 1e-9) < limit.min()]
                 for at in range(0, len(reach), 16):
                     some = reach[at:at + 16]
@@ -216,7 +224,7 @@ def _top_k_of(rows: DataFrame, n: int, is_query: Column, k: int, scale: float, c
         for b in batches:
             for q, c, limit in zip(b["q"], b["c"], b["limit"]):
                 q = _unpack(q)
-                best, _ = search(q, _unpack(c), rotation, np.asarray(limit, dtype=float), k, head)
+                best, _ = search(q, _unpack(c), rotation, np.asarray(limit, dtype=float), k)
                 at = np.nonzero(best.full)
                 yield pd.DataFrame({"query_id": q[0][at[0]], "vec_id": best.id[at], "score": best.score[at]})
 
