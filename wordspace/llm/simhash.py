@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forest, prepare, utf8, whole_groups
@@ -154,9 +154,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, list_r
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One document of each group stays: the one whose doc_id names it. Of rows that
-    repeat that doc_id, all columns equal, one stays; rows with a null doc_id stay."""
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    return stay.unionByName(docs.where("doc_id is null"))
+    """One document of each group stays: the one whose doc_id names it. Rows that repeat a
+    doc_id are one document, of which the row with the least text stays. Rows with a null
+    doc_id stay."""
+    docs = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    found = near_duplicates(docs, shingle, max_bits).where("doc_id is not null")
+    ids = (found.groupBy(F.col("doc_id").alias("__id"))
+           .agg(F.count(F.lit(1)).alias("__n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("__names"))
+           .where("__names = 1").select("__id", "__n").checkpoint())
+    often = ids.where("__n > 1").select("__id")
+    stay = docs.join(ids.where("__n = 1").select("__id"), "__id", "left_semi")
+    if often.take(1):
+        least = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
+        again = docs.join(often, "__id", "left_semi").withColumn("__least", least).where("__least = 1")
+        stay = stay.unionByName(again.drop("__least"))
+    return stay.unionByName(docs.where("__id is null")).drop("__id")
