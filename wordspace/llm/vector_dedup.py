@@ -38,7 +38,7 @@ from .components import components
 from .simhash import spread_lists
 from .topk import usable
 
-BLOCK_DIMS, GRID_DIMS, CELL_ROWS, FIT_ROWS = 8, 2, 2048, 4096
+BLOCK_DIMS, GRID_DIMS, CELL_ROWS, FIT_ROWS, TILE = 8, 2, 2048, 4096, 512
 #: Doubles err by less than this, in squared distances of unit vectors.
 SLACK = 1e-9
 
@@ -71,33 +71,29 @@ class Blocks:
         return np.floor(rotated[:, self.axes[block]][:, :GRID_DIMS] / self.width[block]).astype(np.int64)
 
 
-def join_cell(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, block: int, blocks: Blocks, cosine: float,
-              same: bool, meets=None):
-    """Index pairs (i of a, j of b) of verified links that belong to this block; ``same``:
-    a and b are one list, pairs once. ``meets(i, j)`` tells pairs that belong to this cell."""
-    ax = blocks.axes[block]
-    pa, pb = ra[:, ax], rb[:, ax]
-    d = (pa * pa).sum(1)[:, None] + (pb * pb).sum(1)[None, :] - 2 * (pa @ pb.T)
-    near = d <= blocks.share[block] + SLACK
-    if same:
-        near &= np.tri(len(a), len(b), -1, dtype=bool)
-    i, j = np.nonzero(near)
+def _screen(left: np.ndarray, right: np.ndarray, limit: float) -> np.ndarray:
+    """Which pairs of a block's coordinates may lie within the squared distance ``limit``:
+    one single-precision product, with more slack than its rounding needs."""
+    one = np.ones((len(left), 1)), np.ones((len(right), 1))
+    a = np.hstack((-2 * left, (left * left).sum(1)[:, None], one[0])).astype(np.float32)
+    b = np.hstack((right, one[1], (right * right).sum(1)[:, None])).astype(np.float32)
+    return a @ b.T <= np.float32(limit + 2e-5)
+
+
+def verified(unit: np.ndarray, i: np.ndarray, j: np.ndarray, block: int, blocks: Blocks, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) with a cosine of ``cosine`` or more that count in this block: it is
+    the first one whose share they meet (the union). A pair's figures are summed in the
+    same order in every task."""
     out = []
-    for at in range(0, len(i), 100_000):
-        p, q = i[at:at + 100_000], j[at:at + 100_000]
-        if meets is not None:
-            ok = meets(p, q)
-            p, q = p[ok], q[ok]
-        ok = np.einsum("ij,ij->i", a[p], b[q]) >= cosine
+    for at in range(0, len(i), 50_000):
+        p, q = i[at:at + 50_000], j[at:at + 50_000]
+        ok = np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine
         p, q = p[ok], q[ok]
-        diff = (ra[p] - rb[q]) ** 2
-        for earlier in range(block):  # the union: a pair counts in the first block that finds it
-            ok = diff[:, blocks.axes[earlier]].sum(1) > blocks.share[earlier]
-            p, q, diff = p[ok], q[ok], diff[ok]
-        out.append((p, q))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))
+        turned = np.einsum("ij,jk->ik", unit[p] - unit[q], blocks.rotation) ** 2
+        met = np.stack([turned[:, a].sum(1) <= s for a, s in zip(blocks.axes, blocks.share)], axis=1)
+        ok = met[:, block] & ~met[:, :block].any(axis=1)
+        out.append((p[ok], q[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -150,9 +146,9 @@ def _links(reps: DataFrame, kind: str, cosine: float, cell_rows: int) -> DataFra
                 for step in np.ndindex(*(2,) * home.shape[1]):
                     cell = home + np.array(step)
                     yield pd.DataFrame({"block": np.int32(k), "cell": [",".join(map(str, c)) for c in cell.tolist()],
-                                        "node": b["node"], "copies": b["copies"], "raw": raw})
+                                        "up": ",".join(map(str, step)), "node": b["node"], "copies": b["copies"], "raw": raw})
 
-    placed = reps.select("node", "copies", "v").mapInPandas(place, "block int, cell string, node long, copies long, raw binary")
+    placed = reps.select("node", "copies", "v").mapInPandas(place, "block int, cell string, up string, node long, copies long, raw binary")
     cells = spread_lists(placed, ["block", "cell"], "node", cell_rows)
     keys = ["block", "cell", "ci", "cj"]
 
@@ -175,23 +171,29 @@ def _join_one(pdf: pd.DataFrame, kind: str, blocks: Blocks, cosine: float) -> pd
     cell = np.array([int(x) for x in pdf["cell"].iloc[0].split(",")])
     unit = _unit(list(pdf["raw"]), kind)
     rot = unit @ blocks.rotation
-    home = blocks.homes(rot, block)
+    # as it was placed, not computed again: a rounding must not move a row to another home
+    home = cell - np.array([[int(x) for x in up.split(",")] for up in pdf["up"]])
     node, copies, own = (pdf[c].to_numpy() for c in ("node", "copies", "own"))
     ci, cj = int(pdf["ci"].iloc[0]), int(pdf["cj"].iloc[0])
-    left, right = np.flatnonzero(own == ci), np.flatnonzero(own == cj)
+    ax = rot[:, blocks.axes[block]]
+    sort = ax[:, min(GRID_DIMS, ax.shape[1] - 1)]  # tiles far apart on the next axis are skipped
+    left, right = (x[np.argsort(sort[x], kind="stable")] for x in (np.flatnonzero(own == ci), np.flatnonzero(own == cj)))
     n = np.zeros(len(pdf), dtype=np.int64)
     root = np.arange(len(pdf))
-    size = 1024
-    for x in range(0, len(left), size):
-        for y in range(0, x + size if ci == cj else len(right), size):
-            p, q = left[x:x + size], right[y:y + size]
-            if not len(p) or not len(q):
+    for x in range(0, len(left), TILE):
+        for y in range(0, min(x + TILE, len(right)) if ci == cj else len(right), TILE):
+            p, q = left[x:x + TILE], right[y:y + TILE]
+            if sort[p[0]] - sort[q[-1]] > blocks.width[block] + 1e-4 or sort[q[0]] - sort[p[-1]] > blocks.width[block] + 1e-4:
                 continue
+            near = _screen(ax[p], ax[q], blocks.share[block])
+            if ci == cj and x == y:
+                near &= np.tri(len(p), len(q), -1, dtype=bool)  # one list: pairs once
+            i, j = np.nonzero(near)
+            i, j = p[i], q[j]
             # a pair meets in one cell: the higher of its homes on each axis
-            meets = lambda i, j, p=p, q=q: (np.maximum(home[p[i]], home[q[j]]) == cell).all(axis=1)
-            i, j = join_cell(unit[p], unit[q], rot[p], rot[q], block, blocks, cosine, ci == cj and x == y, meets)
+            meets = (np.maximum(home[i], home[j]) == cell).all(axis=1)
+            i, j = verified(unit, i[meets], j[meets], block, blocks, cosine)
             if len(i):
-                i, j = p[i], q[j]
                 n += np.bincount(i, copies[j], len(pdf)).astype(np.int64) + np.bincount(j, copies[i], len(pdf)).astype(np.int64)
                 root = forest(np.concatenate((np.arange(len(pdf)), i)), np.concatenate((root, j)), len(pdf))
     got = n > 0
