@@ -146,11 +146,12 @@ def test_g12_analogy(spark):
 
 
 def test_g13_model_text(spark):
-    lines = spark.createDataFrame([("2 2",), ("a 1.0 0.0",), ("b 3.0 4.0",)], "line string")
+    schema = "is_header boolean, line string"
+    lines = spark.createDataFrame([(True, "2 2"), (False, "a 1.0 0.0"), (False, "b 3.0 4.0")], schema)
     norm = {r["word"]: r["vector"] for r in model_text.parse_model_lines(lines, True).collect()}
     raw = {r["word"]: r["vector"] for r in model_text.parse_model_lines(lines, False).collect()}
     assert np.allclose(norm["b"], [0.6, 0.8]) and raw["b"] == [3.0, 4.0]
-    bad = spark.createDataFrame([("3 2",), ("a 1.0 0.0",), ("b 3.0 4.0",)], "line string")
+    bad = spark.createDataFrame([(True, "3 2"), (False, "a 1.0 0.0"), (False, "b 3.0 4.0")], schema)
     with pytest.raises(ValueError):
         model_text.parse_model_lines(bad)
 

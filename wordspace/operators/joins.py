@@ -27,24 +27,27 @@ class KeyedSize:
     rows: int
     approx_bytes: int
     total_weight: int
+    max_row_bytes: int = 0
 
 
 def measure(keyed: DataFrame, key: str, weight: str | None = None) -> KeyedSize:
     """One aggregate pass: rows, an upper estimate of the serialized size,
     and the total weight."""
-    from pyspark.sql.types import ArrayType
-    width = F.length(F.col(key)) * 4 + 16
+    from pyspark.sql.types import ArrayType, StringType
+    width = F.lit(16)
     for f in keyed.schema.fields:
-        if f.name == key:
-            continue
         if isinstance(f.dataType, ArrayType):
-            width = width + F.coalesce(F.size(F.col(f.name)), F.lit(0)) * 8 + 16
+            texts = isinstance(f.dataType.elementType, StringType)
+            each = F.octet_length(F.array_join(F.col(f.name), "")) if texts else F.lit(0)
+            width = width + F.coalesce(F.size(F.col(f.name)) * (24 if texts else 8) + each, F.lit(0)) + 16
+        elif isinstance(f.dataType, StringType):
+            width = width + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) * 2 + 16
         else:
             width = width + 16
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(width).alias("b"), F.max(width).alias("x")]
     aggs.append(F.sum(weight).alias("w") if weight else F.lit(0).alias("w"))
     r = keyed.agg(*aggs).first()
-    return KeyedSize(int(r["n"] or 0), int(r["b"] or 0), int(r["w"] or 0))
+    return KeyedSize(int(r["n"] or 0), int(r["b"] or 0), int(r["w"] or 0), int(r["x"] or 0))
 
 
 def lookup_join(big: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
@@ -63,10 +66,12 @@ def lookup_join(big: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
     size = size or measure(keyed, key, weight)
     if size.approx_bytes <= broadcast_bytes:
         return big.join(F.broadcast(keyed), key, how)
-    if weight is None or size.total_weight <= 0:
+    # as many hot keys as fit the limit, by the largest row there is
+    hot_keys = min(max_hot_keys, broadcast_bytes // max(1, size.max_row_bytes))
+    if weight is None or size.total_weight <= 0 or hot_keys < 1:
         # No skew information: a shuffle join; AQE splits skewed partitions.
         return big.join(keyed, key, how)
-    cut = max(1, size.total_weight // max_hot_keys)
+    cut = size.total_weight // hot_keys + 1     # at most hot_keys keys weigh as much
     hot = keyed.where(F.col(weight) >= cut)
     cold = keyed.where(F.col(weight) < cut)
     hot_keys = hot.select(F.col(key).alias("__hot_key"))

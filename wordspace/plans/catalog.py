@@ -76,7 +76,9 @@ def q_vocab_text(spark, sf):
 
 
 def q_in_vocab_tokens(spark, sf):
-    return tok.in_vocab_tokens(_tokens(spark, sf), _vocab(spark, sf))
+    lines = _lines(spark, sf)
+    _, vocab, _ = tok.corpus_stats(lines, MIN_COUNT)
+    return tok.in_vocab_tokens(tok.tokenize(lines), vocab)
 
 
 # ---- sampling and sentences
@@ -89,9 +91,15 @@ def _stats(spark, sf):
     return lines, vocab, c, tok.in_vocab_tokens(tok.tokenize(lines), vocab, with_freq=True)
 
 
+def _counted_vocab(spark, sf):
+    """The vocabulary from stored word counts, for jobs that read it more than once."""
+    return tok.corpus_stats(_lines(spark, sf), MIN_COUNT)[1]
+
+
 def q_noise_distribution(spark, sf):
-    nd = smp.noise_distribution(_vocab(spark, sf))
-    return nd.select("word", "freq", *[F.round(c, 6).alias(c) for c in ("weight", "share", "cum_share")])
+    nd = smp.noise_distribution(_counted_vocab(spark, sf))
+    return nd.select("word", "freq", F.round("weight", 8).alias("weight"), F.round("share", 14).alias("share"),
+                     F.round("cum_share", 12).alias("cum_share"))
 
 
 def q_keep_probability(spark, sf):
@@ -109,8 +117,8 @@ def q_epoch_tokens(spark, sf):
     return smp.epoch_tokens(tf, c, SAMPLE, SEED, EPOCHS)
 
 
-def _chunks(spark, sf, epochs=EPOCHS):
-    lines, _, c, tf = _stats(spark, sf)
+def _chunks(spark, sf, epochs=EPOCHS, stats=None):
+    lines, _, c, tf = stats or _stats(spark, sf)
     kept = smp.epoch_tokens(tf, c, SAMPLE, SEED, epochs)
     return sen.sentence_chunks(kept, sen.line_info(lines), c, MAX_LEN), c
 
@@ -154,9 +162,9 @@ def q_init_vectors(spark, sf):
 
 
 def q_cbow_context(spark, sf):
-    vocab = _vocab(spark, sf)
-    cc = sen.cbow_context(_first_epoch_chunks(spark, sf), wts.init_vectors(vocab, DIM_SMALL, SEED),
-                          WINDOW, SEED, vocab)
+    stats = _stats(spark, sf)
+    chunks, _ = _chunks(spark, sf, 1, stats)
+    cc = sen.cbow_context(chunks, wts.init_vectors(stats[1], DIM_SMALL, SEED), WINDOW, SEED, stats[1])
     return cc.select("epoch", "doc_id", "line_no", "chunk", "target_pos", "target", "n_context",
                      "mean")
 
@@ -174,17 +182,17 @@ def q_huffman_classes(spark, sf):
 
 
 def q_huffman_codes(spark, sf):
-    return hf.huffman_codes(_vocab(spark, sf))
+    return hf.huffman_codes(_counted_vocab(spark, sf))
 
 
 def q_huffman_paths(spark, sf):
-    return hf.huffman_paths(hf.huffman_codes(_vocab(spark, sf)))
+    return hf.huffman_paths(hf.huffman_codes(_counted_vocab(spark, sf)))
 
 
 def q_huffman_cost(spark, sf):
     """Total coded length (the same for every optimal code) and word count;
     the longest code depends on ties, so it is not part of the checked row."""
-    return hf.huffman_cost(hf.huffman_codes(_vocab(spark, sf))).select("cost", "n_words")
+    return hf.huffman_cost(hf.huffman_codes(_counted_vocab(spark, sf))).select("cost", "n_words")
 
 
 # ---- training (rows-only checks; properties in tests/)
@@ -316,14 +324,18 @@ def q_vector_scale(spark, sf):
 
 
 def q_vector_sum(spark, sf):
-    return (_emb(spark, sf).groupBy("label")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 V.sum_vectors(F.col("embedding"), "float64").alias("s"))
+    return (V.sum_by_key(_emb(spark, sf), ["label"], "embedding", ["vec_id"], "s")
             .select("label", "n", F.transform("s", lambda x: F.round(x, 6)).alias("vector")))
 
 
 def q_model_text(spark, sf):
-    return model_text.model_lines(raw_model(spark, sf))
+    """The fields of every line of the model text, header included: the word
+    and its numbers as the text spells them."""
+    parts = F.split(F.col("line"), " ")
+    lines = model_text.model_lines(raw_model(spark, sf)).select("is_header", parts.alias("p"))
+    return (lines.select("is_header", F.col("p")[0].alias("word"), F.posexplode(F.slice("p", 2, F.size("p"))))
+            .select("is_header", "word", F.col("pos").alias("field"),
+                    F.col("col").cast("float").cast("double").alias("value")))
 
 
 def q_model_load_normalized(spark, sf):
@@ -366,8 +378,11 @@ def q_analogy(spark, sf):
 
 
 def q_nearest_report(spark, sf):
+    """The printed lines, read back: word, the separator, and the score as spelled."""
     m = text_model(spark, sf, True, store=True)
-    return nn.report_lines(nn.nearest(m, _all_words(m), REPORT_N, "dot"))
+    out = nn.report_lines(nn.nearest(m, _all_words(m), REPORT_N, "dot"))
+    parts = F.split(F.col("line"), "\t")
+    return out.select("query", "rank", parts[0].alias("printed_word"), parts[1].cast("double").alias("printed_score"))
 
 
 QUERIES = {
@@ -530,6 +545,14 @@ ORACLES.update({
         GROUP BY label, i)
         JOIN (SELECT label AS l2, count(*) AS n FROM embeddings GROUP BY label) ON l2 = label
         GROUP BY label, n""",
+    "model_text": """
+        SELECT true AS is_header, CAST(count(*) AS VARCHAR) AS word, 0 AS field, max(len(embedding))::DOUBLE AS value
+        FROM embeddings
+        UNION ALL
+        SELECT false, CAST(vec_id AS VARCHAR), CAST(unnest(range(len(embedding))) AS INTEGER),
+               unnest(embedding)::DOUBLE FROM embeddings""",
+    "nearest_report": f"""SELECT query, rank, word || ' :' AS printed_word, score AS printed_score
+        FROM ({_nearest_sql(NORM_MODEL_SQL, _dot('q.vector', 'c.vector'), REPORT_N)})""",
     "model_load_normalized": f"WITH {NORM_MODEL_SQL} SELECT * FROM m",
     "model_load_raw": f"WITH {RAW_MODEL_SQL} SELECT * FROM m",
     "nearest_dot": _nearest_sql(NORM_MODEL_SQL, _dot('q.vector', 'c.vector'), TOP_N),
@@ -620,8 +643,8 @@ ORACLES.update({
     "noise_distribution": f"""WITH {VOCAB_SQL},
       w AS (SELECT word, freq, pow(CAST(freq AS DOUBLE), 0.75) AS weight FROM vocab),
       t AS (SELECT sum(weight) AS tot FROM w)
-      SELECT word, freq, round(weight, 6) AS weight, round(weight / tot, 6) AS share,
-             round(sum(weight) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / tot, 6) AS cum_share
+      SELECT word, freq, round(weight, 8) AS weight, round(weight / tot, 14) AS share,
+             round(sum(weight) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / tot, 12) AS cum_share
       FROM w, t""",
     "keep_probability": f"""WITH {VOCAB_SQL}, cs AS (SELECT count(*) AS c FROM tokens),
       v AS (SELECT word, freq, freq / ({SAMPLE!r} * c) AS r FROM vocab, cs)

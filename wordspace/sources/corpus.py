@@ -8,9 +8,11 @@ for "file order" wherever the job needs one (the running token total).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import DEFAULT_BROADCAST_BYTES
+
 # Fixed value: the line ends a buffered line reader accepts (\r\n, \n, \r).
 LINE_END_PATTERN = r"\r\n|\n|\r"
 
@@ -23,14 +25,15 @@ def _line_array(parts: Column) -> Column:
 
 
 def lines_from_table(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                     balance: bool = True) -> DataFrame:
+                     balance: bool = False) -> DataFrame:
     """Split every text of a table into lines: ``(doc_id long, line_no int, line string)``.
 
-    A per-row generator; NULL texts give no lines. With ``balance``, an input
-    read as fewer partitions than the cluster's default parallelism (a small
+    A per-row generator; NULL texts give no lines. With ``balance``, a plain
+    scan of fewer partitions than the cluster's default parallelism (a small
     file with few row groups) has its lines spread round-robin over that many
     partitions, so tokenising uses every core; a large input already has
-    more splits than cores and is left as it is (no shuffle).
+    more splits than cores and is left as it is (no shuffle). Not for inputs
+    with shuffles, which would run when asked for their partitions.
     """
     # the split gets its own projection so it is computed once per text
     out = (df.where(F.col(text_col).isNotNull())
@@ -47,25 +50,48 @@ def lines_from_table(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
 def lines_from_text(spark: SparkSession, path: str) -> DataFrame:
     """Plain text files, one sentence per line (the original input format).
 
-    Each line becomes its own document: ``doc_id`` is the line's position in
-    its input split (``monotonically_increasing_id``, stable for the same
-    files and split size), ``line_no`` is 0. The reader never loads a whole
-    file into one row, so files of any size split across tasks.
+    Each line becomes its own document: ``doc_id`` is its 0-based number in
+    file order (files by path, lines by place), ``line_no`` is 0. Numbers do
+    not depend on how files are cut into splits or packed into tasks. The
+    reader never loads a whole file into one row, so files of any size split
+    across tasks.
+
+    Two levels, no shuffle of text: within a split, lines stand in one task
+    in order, so an increasing id less the split's least one is the line's
+    place; one row per split (path, start, lines, least id) is aggregated and
+    its running total of lines is joined back.
     """
-    return (spark.read.text(path)
-            .select(F.monotonically_increasing_id().alias("doc_id"),
-                    F.lit(0).alias("line_no"),
-                    F.col("value").alias("line")))
+    at = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
+    splits = at.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m0"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("f").agg(F.sum("n").alias("n"))      # one row a file
+    files = files.select("f", F.coalesce(F.sum("n").over(before.orderBy("f")), F.lit(0)).alias("f0"))
+    base = (splits.withColumn("b0", F.coalesce(F.sum("n").over(in_file), F.lit(0)))
+            .join(files, "f").select(F.col("f").alias("__f"), F.col("b").alias("__b"), "m0",
+                                     (F.col("f0") + F.col("b0")).alias("base")))
+    same = (F.col("f") == F.col("__f")) & (F.col("b") == F.col("__b"))
+    bytes_ = base.agg(F.sum(F.octet_length("__f") + 64)).first()[0] or 0
+    base = F.broadcast(base) if bytes_ <= DEFAULT_BROADCAST_BYTES else base
+    return (at.join(base, same)
+            .select((F.col("base") + F.col("m") - F.col("m0")).alias("doc_id"),
+                    F.lit(0).alias("line_no"), "line"))
 
 
 def lines_from_keyed_table(df: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
     """Texts keyed by several columns (e.g. conversation, turn): ``doc_id``
-    is the text's rank in key order, from a two-level running count (no
-    single-task window, no assumption about key ranges)."""
+    is the text's rank in key order, from a two-level running count over the
+    narrow key (no single-task window, no assumption about key ranges); the
+    number is joined back to the text."""
     from ..operators.prefix import running_sum
-    ranked = running_sum(df.select(*key_cols, text_col, F.lit(1).cast("long").alias("__one")),
-                         key_cols, "__one", "doc_id", inclusive=False)
-    return lines_from_table(ranked.select("doc_id", text_col), text_col, "doc_id")
+    keys = df.select(*key_cols, F.lit(1).cast("long").alias("__one"))
+    ranked = running_sum(keys, key_cols, "__one", "doc_id", inclusive=False)
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key_cols)]
+    ranked = ranked.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key_cols)], "doc_id")
+    numbered = df.select(*key_cols, text_col).join(ranked, same)
+    return lines_from_table(numbered.select("doc_id", text_col), text_col, "doc_id")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +105,4 @@ def document_lines(spark: SparkSession, sf_dir: str, table: str = "documents") -
     ids = {"documents": ("doc_id", "text"), "benchmark": ("item_id", "text")}
     id_col, text_col = ids[table]
     return lines_from_table(read_table(spark, sf_dir, table).select(id_col, text_col),
-                            text_col, id_col)
+                            text_col, id_col, balance=True)
