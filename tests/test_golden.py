@@ -216,3 +216,22 @@ def test_text_file_sources(spark, tmp_path):
     write_vocab_text(vocab, out)
     got = sorted(r["value"] for r in spark.read.text(out).collect())
     assert got == ["a\t3", "b\t2"]
+
+
+def test_damaged_merge_log_raises():
+    freqs, starts, log = huffman.merge_runs([(1, 5), (3, 2), (7, 1)])
+    cls = np.repeat([0, 1, 2], [5, 2, 1])
+    member = np.array([0, 1, 2, 3, 4, 0, 1, 0])
+    codes = huffman.resolve_codes(cls, member, log)
+    assert len(set(codes)) == 8 and abs(sum(2.0 ** -len(c) for c in codes) - 1) < 1e-12
+    for drop in range(len(log)):
+        with pytest.raises(ValueError):
+            huffman.resolve_codes(cls, member, np.delete(log, drop, axis=0))
+
+
+def test_codes_of_a_class_with_more_than_2_32_words():
+    n = 3 << 32
+    _, _, log = huffman.merge_runs([(1, n)])
+    at = np.array([0, 1, n // 2, n - 1])
+    codes = huffman.resolve_codes(np.zeros(4, dtype=np.int64), at, log)
+    assert len(set(codes)) == 4 and {len(c) for c in codes} <= {33, 34}

@@ -52,7 +52,8 @@ def subsample(tokens_freq: DataFrame, corpus_size: int, sample: float, seed: int
     (seed, epoch, doc_id, line_no, pos), fresh for every token and epoch."""
     p = keep_probability_col(F.col("freq"), corpus_size, sample)
     u = keep_draw(seed, epoch, F.col("doc_id"), F.col("line_no"), F.col("pos"))
-    return tokens_freq.where(p >= u)
+    # u is below 1, so only frequent words' tokens are hashed and drawn
+    return tokens_freq.where((p >= 1) | (p >= u))
 
 
 def epoch_tokens(tokens_freq: DataFrame, corpus_size: int, sample: float, seed: int,
