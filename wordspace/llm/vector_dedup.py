@@ -38,7 +38,7 @@ from .components import components
 from .simhash import spread_lists
 from .topk import usable
 
-BLOCK_DIMS, GRID_DIMS, CELL_ROWS, FIT_ROWS, TILE = 8, 2, 2048, 4096, 512
+BLOCK_DIMS, GRID_DIMS, CELL_ROWS, FIT_ROWS, TILE = 16, 2, 16_384, 4096, 512
 #: Doubles err by less than this, in squared distances of unit vectors.
 SLACK = 1e-9
 
@@ -172,7 +172,8 @@ def _join_one(pdf: pd.DataFrame, kind: str, blocks: Blocks, cosine: float) -> pd
     unit = _unit(list(pdf["raw"]), kind)
     rot = unit @ blocks.rotation
     # as it was placed, not computed again: a rounding must not move a row to another home
-    home = cell - np.array([[int(x) for x in up.split(",")] for up in pdf["up"]])
+    step = {up: [int(x) for x in up.split(",")] for up in pdf["up"].unique()}
+    home = cell - np.array([step[up] for up in pdf["up"]])
     node, copies, own = (pdf[c].to_numpy() for c in ("node", "copies", "own"))
     ci, cj = int(pdf["ci"].iloc[0]), int(pdf["cj"].iloc[0])
     ax = rot[:, blocks.axes[block]]
@@ -188,6 +189,8 @@ def _join_one(pdf: pd.DataFrame, kind: str, blocks: Blocks, cosine: float) -> pd
             near = _screen(ax[p], ax[q], blocks.share[block])
             if ci == cj and x == y:
                 near &= np.tri(len(p), len(q), -1, dtype=bool)  # one list: pairs once
+            if not near.any():
+                continue
             i, j = np.nonzero(near)
             i, j = p[i], q[j]
             # a pair meets in one cell: the higher of its homes on each axis
