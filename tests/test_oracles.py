@@ -10,9 +10,10 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from wordspace.plans import catalog
 from tools.oracle_check import TABLES, digest, type_mismatches
 
-SLOW = {"hs_batch_step", "cbow_batch_step"}  # covered at sf0.01 by tools/oracle_check.py
+
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
