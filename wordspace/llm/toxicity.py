@@ -36,7 +36,7 @@ from .labelled import labelled_sample
 SAMPLE_ROWS, MAX_PAIRS, KEPT_FEATURES = 16_000, 20_000, 2_048
 FEATURES = 1 << 20
 PREFIXES = (4, 5, 6)
-L1, L2, COUNTERFACTUAL = 5e-5, 1e-6, 1.0
+L1, L2, COUNTERFACTUAL = 1e-4, 1e-6, 1.0
 MEMO = 200_000
 
 #: Terms of one kind stand in for each other in a swapped sentence.
