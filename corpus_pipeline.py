@@ -50,7 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's ids, and whether they decode to its text again."""
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
+    both = pieces.encode(docs.select("doc_id", "lang", "source", "text"), decoded=True)
     return both.select("doc_id", "lang", "source", F.size("ids").alias("n_ids"), "ids",
                        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 

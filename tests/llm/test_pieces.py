@@ -91,6 +91,8 @@ def test_tables(frame, spark):
     rows = [(i, t, 1) for i, t in enumerate(ODD)] + [(None, None, 2), (1, "x", 3), (1, "x", 3)]
     df = frame(rows, "doc_id long, text string, ids int")
     got = pieces.decode(pieces.encode(df))
+    one = pieces.encode(df.withColumn("decoded", df.doc_id), decoded=True)
+    assert one.columns == got.columns and sorted(map(repr, one.collect())) == sorted(map(repr, got.collect()))
     assert got.columns == ["doc_id", "text", "ids", "decoded"]
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     out = got.collect()

@@ -16,8 +16,10 @@ What makes a last piece best depends on the model's kind, which its file names:
   each boundary has exactly one surviving last piece.
 
 Where no piece can cross a boundary (before a space mark, around a character that stands in
-no piece), all paths converge there by themselves. Such spans are searched one by one and
-their ids remembered (``MEMO`` spans a task), as words repeat.
+no piece), all paths converge there by themselves, so each such span is a search of its
+own. Spans repeat: a worker remembers the ids of twice ``MEMO`` of them and those of a batch. New spans of a batch
+that are short are searched side by side, one boundary at a time for all of them
+(``SideBySide``); long ones go through the streaming search.
 
 Characters that are no piece become byte pieces where the model has them, else the unknown
 id. Ids are those of the sentencepiece library for a bpe model (held against it in tests).
@@ -46,7 +48,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-MEMO = 400_000
+MEMO = 150_000
+#: Characters of a span that is searched beside others, and how many of them at once.
+SHORT, SIDE_ROWS = 48, 16_384
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -116,15 +120,18 @@ class Search:
                 return parts
             parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
-    def fits(self, a: int, b: int) -> bool:
+    def pair(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a."""
+        own = [self._spell(b)] if a == START else [self._spell(a), self._spell(b)]
+        return self.merged("".join(own)) == own
+
+    def fits(self, a: int, b: int) -> bool:
+        """``pair``, remembered."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            left = [] if a == START else [self._spell(a)]
-            own = [*left, self._spell(b)]
-            ok = self.pairs[a, b] = self.merged("".join(own)) == own
+            ok = self.pairs[a, b] = self.pair(a, b)
         return ok
 
     def stream(self, chars: str, window: int | None = None) -> Iterator[list[int]]:
@@ -200,74 +207,233 @@ class Search:
 START = -0x200000
 
 
-class Codec:
-    """A model's pieces, with the library's normaliser; encodes and decodes whole texts."""
+class Table:
+    """Whole numbers (uint64, not 0) to small ones, open addressing in numpy arrays."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.keys, self.values, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of ``keys``, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            at = slot[todo]
+            there = self.keys[at]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            todo = todo[~hit & (there != 0)]
+            slot[todo] = (slot[todo] + np.uint64(1)) & self.mask
+        return out
+
+    def put(self, keys: np.ndarray, values) -> None:
+        """New distinct keys; all old ones are forgotten when the table is two thirds full."""
+        if 3 * (self.used + len(keys)) > 2 * len(self.keys):
+            self.keys[:] = 0
+            self.used = 0
+        mask = int(self.mask)
+        for k, at, v in zip(keys.tolist(), self._slot(keys).tolist(), values):
+            while self.keys[at]:
+                at = (at + 1) & mask
+            self.keys[at], self.values[at] = k, v
+        self.used += len(keys)
+
+
+class SideBySide:
+    """The search of a bpe model over many short spans at once. Substrings are looked up
+    by two polynomial hashes of 64 bits each."""
+
+    BASES = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, search: Search):
+        self.search, self.longest = search, search.longest
+        texts = [search.text.get(i, "") for i in range(max(search.text, default=0) + 1)]
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        one, self.check = (self._hash_all(texts, b) for b in self.BASES)
+        self.powers = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(self.longest, b))), dtype=np.uint64) for b in self.BASES]
+        known = np.array([i for i, t in enumerate(texts) if t], dtype=np.int64)
+        self.pieces = Table(max(8, (4 * len(known)).bit_length()))
+        self.pieces.put(self._sized(one[known], self.sizes[known]), known.tolist())
+        self.pairs = Table(20)
+
+    @staticmethod
+    def _sized(h: np.ndarray, size) -> np.ndarray:
+        """A hash with the length mixed in, never 0."""
+        h = (h ^ np.asarray(size, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(31))) | np.uint64(1 << 63)
+
+    @staticmethod
+    def _codes(texts: list[str]) -> np.ndarray:
+        """A row of code points plus 1 for each text, 0 behind its end."""
+        lens = np.array([len(t) for t in texts], dtype=np.int64)
+        out = np.zeros((len(texts), int(lens.max(initial=1))), dtype=np.uint64)
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        out[np.arange(out.shape[1]) < lens[:, None]] = flat + np.uint64(1)
+        return out
+
+    def _prefixes(self, codes: np.ndarray, base) -> np.ndarray:
+        h = np.zeros((codes.shape[1] + 1, len(codes)), dtype=np.uint64)
+        for i in range(codes.shape[1]):
+            h[i + 1] = h[i] * base + codes[:, i]
+        return h
+
+    def _hash_all(self, texts: list[str], base) -> np.ndarray:
+        h = self._prefixes(self._codes(texts), base)
+        return h[[len(t) for t in texts], np.arange(len(texts))]
+
+    def _fit(self, prev: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each id may follow the piece before it (-1: the beginning)."""
+        keys = ((prev.astype(np.int64) + 2).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+        ok = self.pairs.get(keys)
+        new = np.unique(keys[ok < 0])
+        if len(new):
+            before, after = (new >> np.uint64(32)).astype(np.int64) - 2, (new & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            self.pairs.put(new, [int(self.search.pair(START if a < 0 else a, b)) for a, b in zip(before.tolist(), after.tolist())])
+            ok = self.pairs.get(keys)
+        return ok == 1
+
+    def run(self, spans: list[str]) -> list[bytes | None]:
+        """The ids of each span as bytes of little-endian numbers; None where a boundary
+        has no piece of the vocabulary (left to the streaming search)."""
+        codes = self._codes(spans)
+        n, width = codes.shape
+        lens = np.array([len(t) for t in spans], dtype=np.int64)
+        h, check = (self._prefixes(codes, b) for b in self.BASES)
+        last, size = np.full((width + 1, n), -1, np.int32), np.zeros((width + 1, n), np.int8)
+        alive = np.ones(n, dtype=bool)
+        for end in range(1, width + 1):
+            todo = np.flatnonzero(alive & (lens >= end))
+            for k in range(1, min(end, self.longest) + 1):
+                if not len(todo):
+                    break
+                key = h[end, todo] - h[end - k, todo] * self.powers[0][k]
+                ids = self.pieces.get(self._sized(key, k))
+                some = np.flatnonzero(ids >= 0)
+                at, got = todo[some], ids[some]
+                same = check[end, at] - check[end - k, at] * self.powers[1][k] == self.check[got]
+                some, at, got = some[same], at[same], got[same]
+                ok = self._fit(last[end - k, at], got)
+                last[end, at[ok]], size[end, at[ok]] = got[ok], k
+                left = np.ones(len(todo), dtype=bool)
+                left[some[ok]] = False
+                todo = todo[left]
+            alive[todo] = False
+        # back along the pieces, all spans together
+        at, rows, steps = lens.copy(), np.flatnonzero(alive & (lens > 0)), []
+        while len(rows):
+            steps.append((rows, last[at[rows], rows]))
+            at[rows] -= size[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        count = np.zeros(n, dtype=np.int64)
+        for rows, _ in steps:
+            count[rows] += 1
+        ends = np.cumsum(count)
+        flat, place = np.zeros(int(ends[-1]) if n else 0, dtype="<i4"), ends - 1
+        for rows, ids in steps:
+            flat[place[rows]] = ids
+            place[rows] -= 1
+        raw, ends = flat.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] if ok else None for a, b, ok in zip([0, *ends], ends, alive.tolist())]
+
+
+class Speller:
+    """What each id of a model stands for; ids to texts."""
 
     def __init__(self, model: bytes):
-        self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
-        lib = self.lib
-        kind = model_kind(model)
+        self.lib = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = lib.get_piece_size()
-        plain = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
-        self.search = Search({lib.id_to_piece(i): (i, lib.get_score(i)) for i in plain}, kind)
-        byte_ids = {int(lib.id_to_piece(i)[3:-1], 16): i for i in range(n) if lib.is_byte(i)}
-        self.byte_ids = byte_ids if len(byte_ids) == 256 else None
-        #: the bytes that an id stands for
+        self.plain = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
+        self.byte_ids = {int(lib.id_to_piece(i)[3:-1], 16): i for i in range(n) if lib.is_byte(i)}
         self.spelled = [b""] * n
-        for i in plain:
+        for i in self.plain:
             self.spelled[i] = lib.id_to_piece(i).replace(SPACE, " ").encode()
-        for b, i in byte_ids.items():
+        for b, i in self.byte_ids.items():
             self.spelled[i] = bytes([b])
         self.spelled[lib.unk_id()] = " ⁇ ".encode()
+
+    def decode(self, ids: list[int]) -> str:
+        spelled = self.spelled
+        out = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
+        return out[1:] if out[:1] == " " else out
+
+
+class Codec(Speller):
+    """A model's pieces, with the library's normaliser; encodes whole texts too."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
+        lib, plain, kind = self.lib, self.plain, model_kind(model)
+        self.search = Search({lib.id_to_piece(i): (i, lib.get_score(i)) for i in plain}, kind)
         chars = {c for i in plain for c in lib.id_to_piece(i)} - {SPACE}
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", lib.id_to_piece(i)) for i in plain)
         inside = "[" + "".join(map(re.escape, sorted(chars))) + "]+" if chars else "(?!)"
         # spans that no piece crosses the ends of
         self.spans = re.compile(f"{SPACE}*{inside}|{SPACE}+|." if self.by_word else f"(?:{inside}|{SPACE})+|.", re.S)
+        self.odd = re.compile("[^" + "".join(map(re.escape, sorted(chars | {SPACE}))) + "]", re.S)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.side = SideBySide(self.search) if kind == BPE and plain else None
 
-    def _ids(self, span: str) -> bytes:
-        """The ids of a span, which may hold ends that no piece crosses."""
+    def _streamed(self, span: str) -> bytes:
         out: list[int] = []
-        for s in self.spans.findall(span):
-            for run in self.search.stream(s):
-                for i in run:
-                    if i >= 0:
-                        out.append(i)
-                    elif self.byte_ids:
-                        out += [self.byte_ids[b] for b in chr(-i - 1).encode()]
-                    else:
-                        out.append(self.lib.unk_id())
+        for run in self.search.stream(span):
+            for i in run:
+                if i >= 0:
+                    out.append(i)
+                elif len(self.byte_ids) == 256:
+                    out += [self.byte_ids[b] for b in chr(-i - 1).encode()]
+                else:
+                    out.append(self.lib.unk_id())
         return array("i", out).tobytes()
 
-    def _known(self, span: str) -> bytes:
-        if len(span) > 64:  # not worth keeping
-            return self._ids(span)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        got = self.memo[span] = self._ids(span)
-        return got
-
-    def encode(self, text: str) -> np.ndarray:
+    def _learn(self, spans: set[str]) -> dict[str, bytes]:
+        """Finds the ids of new spans: short ones are remembered, long ones returned. A
+        span with characters that stand in no piece is cut around these first."""
+        odd, memo, long_ = self.odd.search, self.memo, {}
+        parts = {s: self.spans.findall(s) for s in spans if odd(s)}
+        need = spans - parts.keys()
+        need.update(p for ps in parts.values() for p in ps if p not in memo)
+        short = sorted((p for p in need if len(p) <= SHORT), key=len)  # of like length: rows without padding
+        for at in range(0, len(short) if self.side else 0, SIDE_ROWS):
+            some = short[at:at + SIDE_ROWS]
+            memo.update(zip(some, self.side.run(some)))
+        for p in need:
+            if memo.get(p) is None:
+                (memo if len(p) <= SHORT else long_)[p] = self._streamed(p)
+        for s, ps in parts.items():
+            (memo if len(s) <= SHORT else long_)[s] = b"".join([long_.get(p) or memo[p] for p in ps])
+        return long_
+
+    def _spans(self, text: str) -> list[str]:
         if not text:
-            return np.zeros(0, dtype="<i4")
+            return []
         s = self.lib.normalize(text)
-        if self.by_word and SPACE * 2 not in s:
-            head, *words = s.split(SPACE)
-            spans = [SPACE + w for w in words]
-            if head:
-                spans.insert(0, head)
-        elif self.by_word:
-            spans = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s)
-        else:
-            spans = [s]
-        memo = self.memo
-        return np.frombuffer(b"".join([memo.get(x) or self._known(x) for x in spans]), dtype="<i4")
+        if not self.by_word:
+            return [s]
+        if SPACE * 2 in s:
+            return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s)
+        head, *words = s.split(SPACE)
+        words = [SPACE + w for w in words]
+        return [head, *words] if head else words
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; spans that are new are searched together."""
+        if len(self.memo) > MEMO:  # the older half is kept aside: frequent spans come back from it
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        spans = [self._spans(t) for t in texts]
+        new = set().union(*spans) - memo.keys()
+        back = new & old.keys()
+        memo.update(zip(back, map(old.__getitem__, back)))
+        long_ = self._learn(new - back) if new else {}
+        return [np.frombuffer(b"".join([memo.get(w) or long_[w] for w in x]), dtype="<i4") for x in spans]
 
-    def decode(self, ids: list[int]) -> str:
-        spelled = self.spelled
-        out = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if out[:1] == " " else out
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -276,29 +442,41 @@ def codec(model: bytes) -> Codec:
     return Codec(model)
 
 
+@lru_cache(maxsize=2)
+def speller(model: bytes) -> Speller:
+    return Speller(model)
+
+
 def load_model(path: str = MODEL) -> bytes:
     """The model's file, read on the driver."""
     with open(path, "rb") as f:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes | None = None) -> DataFrame:
-    """``docs`` with ``ids``, the piece ids of the whole text."""
+def encode(docs: DataFrame, model: bytes | None = None, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, the piece ids of the whole text; with ``decoded`` also what
+    these ids spell (as ``decode`` gives it), in the same pass over the texts."""
     prepare(docs.sparkSession, text_batches=True)
     sent = docs.sparkSession.sparkContext.broadcast(load_model() if model is None else model)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "decoded") if decoded else docs.drop("ids")
     cols = docs.columns
     at = cols.index("text")
 
     def local(batches):
         own_codec = codec(sent.value)
         for b in batches:
-            own = [own_codec.encode((t or b"").decode()) for t in utf8(b.column(at))]
+            own = own_codec.encode_all([(t or b"").decode() for t in utf8(b.column(at))])
             ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
             flat = np.concatenate(own) if own else np.zeros(0, dtype="<i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*cols, "ids"])
-    return docs.mapInArrow(local, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+            arrays = [*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))]
+            if decoded:
+                arrays.append(pa.array([own_codec.decode(x.tolist()) for x in own], pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    out = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if decoded:
+        out = out.add("decoded", T.StringType())
+    return docs.mapInArrow(local, out)
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
@@ -310,8 +488,8 @@ def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
     at = cols.index("ids")
 
     def local(batches):
-        own_codec = codec(sent.value)
+        own = speller(sent.value)
         for b in batches:
-            texts = [own_codec.decode(x or []) for x in b.column(at).to_pylist()]
+            texts = [own.decode(x or []) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*cols, "decoded"])
     return encoded.mapInArrow(local, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

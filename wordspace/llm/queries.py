@@ -109,7 +109,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, and whether they decode to the text again."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs))
+    both = pieces.encode(docs, decoded=True)
     return both.select("doc_id", F.size("ids").alias("n_ids"), "ids",
                        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
