@@ -195,12 +195,16 @@ def mixed_texts(docs: DataFrame, mix: Mix) -> DataFrame:
     after the words that are taken."""
     got = (mix.pieces.groupBy("k1", "k2", "source_no", "at", "size", "copy").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("m"))
            .groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("m") < F.col("size"), F.col("m")).otherwise(F.lit(-1))).alias("__m"),
-                                    F.countDistinct("at").alias("__rows")))
+                                    F.countDistinct("at").alias("__rows")).checkpoint())
     ident = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text")]
     keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(mix.seed), *ident), "__k2": F.xxhash64(F.lit(mix.seed + 1), *ident)})
     got = got.withColumnsRenamed({"k1": "__j1", "k2": "__j2"})
-    both = keyed.join(got, (F.col("__k1") == F.col("__j1")) & (F.col("__k2") == F.col("__j2")))
-    both = both.where("__rows = 1").unionByName(both.where("__rows > 1").dropDuplicates(["__k1", "__k2"]))
+    same = (F.col("__k1") == F.col("__j1")) & (F.col("__k2") == F.col("__j2"))
+    # the narrow side is hashed, so that texts are not sorted
+    both = keyed.join(got.where("__rows = 1").hint("shuffle_hash"), same)
+    if got.where("__rows > 1").take(1):  # equal rows: all their passes hang on one of them
+        again = keyed.join(got.where("__rows > 1").hint("shuffle_hash"), same)
+        both = both.unionByName(again.dropDuplicates(["__k1", "__k2"]))
     both = both.withColumn("__m", F.explode("__m"))
     # chunks of a word and the blanks behind it; blanks in front of all are a chunk too
     chunks = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")

@@ -163,7 +163,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -
            .agg(F.count(F.lit(1)).alias("__n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("__names"))
            .where("__names = 1").select("__id", "__n").checkpoint())
     often = ids.where("__n > 1").select("__id")
-    stay = docs.join(ids.where("__n = 1").select("__id"), "__id", "left_semi")
+    # the narrow side is hashed, so that texts are not sorted
+    stay = docs.join(ids.where("__n = 1").select("__id").hint("shuffle_hash"), "__id", "left_semi")
     if often.take(1):
         least = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
         again = docs.join(often, "__id", "left_semi").withColumn("__least", least).where("__least = 1")
