@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, pieces, quality, sharding, simhash, topk, toxicity, vector_dedup
+from . import contamination, line_dedup, mixing, packing, pieces, quality, sharding, simhash, topk, toxicity, vector_dedup
 from .common import read
 from .labelled import held_out
 
@@ -127,5 +127,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pack_tokens, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op8_sentencepiece, op9_hilbert_shards, op10_simhash)}
-ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_vector_dedup": OP6_SQL}
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' words inside verbatim windows of 10 words of the benchmark's items."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.find_contamination(docs, read(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP11_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM documents),
+item AS (
+  SELECT row_number() OVER () AS i, item_id, [x FOR x IN string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM benchmark),
+wide AS (SELECT *, least(10, len(ws)) AS w FROM item WHERE len(ws) > 0),
+wanted AS (
+  SELECT DISTINCT item_id, w, array_to_string(ws[p:p + w - 1], ' ') AS win
+  FROM (SELECT item_id, w, ws, unnest(range(1, len(ws) - w + 2)) AS p FROM wide)),
+have AS (
+  SELECT r, w, p, array_to_string(ws[p:p + w - 1], ' ') AS win
+  FROM (SELECT r, w, ws, unnest(range(1, len(ws) - w + 2)) AS p FROM doc, (SELECT DISTINCT w FROM wide) WHERE len(ws) >= w)),
+occurs AS (SELECT r, p, have.w, item_id FROM have JOIN wanted ON have.w = wanted.w AND have.win = wanted.win),
+hit AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + w)) AS q FROM occurs) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM occurs) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pack_tokens, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op8_sentencepiece, op9_hilbert_shards, op10_simhash,
+                                  op11_decontaminate)}
+ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_vector_dedup": OP6_SQL,
+           "op11_decontaminate": OP11_SQL}
