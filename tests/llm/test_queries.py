@@ -43,6 +43,7 @@ COLUMNS = {
     "op9_hilbert_shards": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
     "op10_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
     "op11_decontaminate": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
+    "op13_vector_codes": "vec_id:bigint code:string error:bigint label_error:bigint codebooks_sha256:string",
 }
 
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, line_dedup, mixing, packing, pieces, quality, sharding, simhash, topk, toxicity, vector_dedup
+from ..operators.joins import lookup_join
+from . import codes, contamination, line_dedup, mixing, packing, pieces, quality, sharding, simhash, topk, toxicity, vector_dedup
 from .common import read
 from .labelled import held_out
 
@@ -163,7 +164,59 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 4 parts from codebooks of 256 entries, improved in 4 rounds."""
+    rows = read(spark, sf_dir, "embeddings")
+    model = codes.fit_codebooks(rows, parts=4, entries=256, rounds=4, scale=1024.0)
+    coded = codes.encode(rows, model).select("vec_id", "label", "codes", "error", F.size("embedding").alias("dim")).checkpoint()
+    key = F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("")).alias("key")
+    total = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(codes.LONG).cast("decimal(38,0)"))
+    sums = coded.groupBy(key).agg(total.cast("long").alias("label_error"), F.count(F.lit(1)).alias("rows"))
+    digests = {d: model.digest(d) for d in model.books}
+    sha = F.lit(None).cast("string")
+    for dim, digest in digests.items():
+        sha = F.when(F.col("dim") == dim, F.lit(digest)).otherwise(sha)
+    return (lookup_join(coded.select("*", key), sums, "key", weight="rows")
+            .select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", sha.alias("codebooks_sha256")))
+
+
+def _op13_sql(dim: int = 64, parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds written out; whole numbers up to 2**53 are exact in doubles."""
+    d = dim // parts
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+part AS MATERIALIZED (
+  SELECT r, p, v[p * {d} + 1:p * {d} + {d}] AS x FROM kept, (SELECT unnest(range({parts})) AS p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM part WHERE r <= {entries}),"""
+    for k in range(rounds + 1):
+        sql += f"""
+near{k} AS MATERIALIZED (
+  SELECT r, part.p, arg_min(struct_pack(e := e, s := s), s * {entries} + e) AS b
+  FROM part JOIN (SELECT *, list_dot_product(c, c) AS cc FROM book{k}) b ON part.p = b.p,
+       LATERAL (SELECT list_dot_product(x, x) - 2 * list_dot_product(x, c) + cc AS s) GROUP BY r, part.p),"""
+        if k < rounds:
+            sql += f"""
+mean{k} AS MATERIALIZED (
+  SELECT p, e, list(m ORDER BY j) AS c FROM (
+    SELECT p, e, j, floor(sum(t) / count(*)) AS m
+    FROM (SELECT p, b.e AS e, unnest(x) AS t, unnest(range({d})) AS j FROM near{k} JOIN part USING (r, p)) GROUP BY p, e, j)
+  GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (
+  SELECT book{k}.p, book{k}.e, coalesce(mean{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, e)),"""
+    return sql + f"""
+coded AS (
+  SELECT r, string_agg(printf('%02x', b.e::INTEGER), '' ORDER BY p) AS code, sum(b.s)::BIGINT AS error FROM near{rounds} GROUP BY r),
+sha AS (
+  SELECT sha256(string_agg(n, ',' ORDER BY p, e, j)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(range({d})) AS j, unnest(c)::BIGINT::VARCHAR AS n FROM book{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), sha
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pack_tokens, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op8_sentencepiece, op9_hilbert_shards, op10_simhash,
-                                  op11_decontaminate)}
+                                  op11_decontaminate, op13_vector_codes)}
 ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_vector_dedup": OP6_SQL,
-           "op11_decontaminate": OP11_SQL}
+           "op11_decontaminate": OP11_SQL, "op13_vector_codes": _op13_sql()}
