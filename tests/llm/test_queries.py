@@ -43,6 +43,7 @@ COLUMNS = {
     "op9_hilbert_shards": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
     "op10_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
     "op11_decontaminate": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
+    "op12_collocations": "lang:string rank:bigint phrase:string a:bigint l:bigint r:bigint n:bigint score:bigint",
     "op13_vector_codes": "vec_id:bigint code:string error:bigint label_error:bigint codebooks_sha256:string",
 }
 
@@ -64,6 +65,6 @@ def test_columns(spark, name):
         assert all(len(r.fingerprint) == 16 and r.fingerprint == r.fingerprint.lower() for r in rows)
 
 
-def test_ten_operators_and_the_pipeline():
+def test_all_operators_and_the_pipeline():
     names = set(E.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
-from . import codes, contamination, line_dedup, mixing, packing, pieces, quality, sharding, simhash, topk, toxicity, vector_dedup
+from . import codes, contamination, line_dedup, mixing, packing, phrases, pieces, quality, sharding, simhash, topk, toxicity, vector_dedup
 from .common import read
 from .labelled import held_out
 
@@ -164,6 +164,44 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of 2 to 5 words with 100 occurrences or more."""
+    docs = read(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs, max_words=5, min_count=100, percent=100, top=2000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS i, lang, ws FROM (
+    SELECT lang, [w FOR w IN string_split_regex(piece, '[\x20\x09]+') IF w <> ''] AS ws FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))),
+total AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, k, array_to_string(g, ' ') AS phrase, count(*)::HUGEINT AS c, any_value(g) AS g FROM (
+    SELECT lang, k, ws[p:p + k - 1] AS g FROM (
+      SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k))
+  GROUP BY lang, k, phrase HAVING count(*) >= 100),
+inner_ AS (
+  SELECT lang, array_to_string(g[p:p + m - 1], ' ') AS phrase, max(c) AS longest FROM (
+    SELECT lang, g, c, k, m, unnest(range(1, k - m + 2)) AS p FROM f, (SELECT unnest(range(2, 5)) AS m) WHERE k > m)
+  GROUP BY lang, phrase),
+cuts AS (
+  SELECT f.lang, f.phrase, f.c AS a, n, j, l.c AS l, r.c AS r, 1000 * f.c * n // (l.c * r.c) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k >= 2) f
+  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.g[1:j], ' ')
+  JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.g[j + 1:f.k], ' ')
+  JOIN total ON total.lang = f.lang
+  LEFT JOIN inner_ ON inner_.lang = f.lang AND inner_.phrase = f.phrase
+  WHERE longest IS NULL OR 100 * longest < 100 * f.c),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of 4 parts from codebooks of 256 entries, improved in 4 rounds."""
     rows = read(spark, sf_dir, "embeddings")
@@ -217,6 +255,7 @@ FROM kept JOIN coded USING (r), sha
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pack_tokens, op3_mix_sources, op4_top_k, op5_line_dedup, op6_vector_dedup, op7_quality, op8_sentencepiece, op9_hilbert_shards, op10_simhash,
-                                  op11_decontaminate, op13_vector_codes)}
+                                  op11_decontaminate, op12_collocations, op13_vector_codes)}
 ORACLES = {"op4_top_k": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_vector_dedup": OP6_SQL,
-           "op11_decontaminate": OP11_SQL, "op13_vector_codes": _op13_sql()}
+           "op11_decontaminate": OP11_SQL, "op12_collocations": OP12_SQL,
+           "op13_vector_codes": _op13_sql()}
