@@ -115,11 +115,11 @@ def test_model_follows_from_the_corpus_alone(spark):
         for parts, spread in ((3, 1), (7, 6)):
             spark.conf.set(key, str(parts))
             m = fit(lines_df(spark, texts).repartition(spread), "cbow", dim=8, window=3, min_count=2, sample=0.0,
-                    epochs=2, tokens_per_shard=400)
-            out.append((m.shards, {r.word: r.vector for r in m.words.collect()}, {r.node_id: r.vector for r in m.inner.collect()}))
+                    epochs=2, shards=4, rounds=3)
+            out.append(((m.shards, m.rounds), {r.word: r.vector for r in m.words.collect()}, {r.node_id: r.vector for r in m.inner.collect()}))
     finally:
         spark.conf.set(key, old)
-    assert out[0] == out[1] and out[0][0] > 2
+    assert out[0] == out[1] and out[0][0] == (4, 3)
 
 
 def test_hot_keys_fit_the_limit_in_bytes(spark):

@@ -4,6 +4,7 @@ checkpoint-directory rule used by jobs that cut lineage."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +54,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
                        "before running jobs that checkpoint")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path for a written table below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path): any store that Spark reads, not only local files."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop = file_system(spark, path)
+    fs.delete(hadoop, True)
+
+
 _SHIPPED: set[str] = set()
 
 
