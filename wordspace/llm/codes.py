@@ -47,6 +47,7 @@ from .common import prepare
 CELL = 32             # width of a coarse cell, in whole numbers
 MEMO_CELLS = 50_000   # cells that a task keeps per part before it starts anew
 PAIRS = 1 << 18       # exact distances at a time
+CELLS = 256           # new cells summed at a time
 RUN = 16              # entries of one partial sum
 LONG = (1 << 63) - 1
 
@@ -81,22 +82,26 @@ class Cells:
 
     def candidates(self, cells: np.ndarray) -> list[np.ndarray]:
         """For each cell (rows of coarse components) the entries that may be nearest in it."""
+        reach = (_top(cells) + 1) * self.cell + self.top  # no component is further from an entry's
+        number = np.int32 if cells.shape[1] * reach * reach < 1 << 31 else self.book.dtype
+        tables = []  # by component: place of each cell's row, and squared distances of the rows
+        for j in range(cells.shape[1]):
+            coarse, of = np.unique(cells[:, j], return_inverse=True)
+            low = (coarse * self.cell)[:, None]
+            below, above = low - self.book[None, :, j], self.book[None, :, j] - (low + self.cell - 1)
+            near, far = np.maximum(np.maximum(below, above), 0), np.maximum(abs(below), abs(above))
+            tables.append((of, (near * near).astype(number), (far * far).astype(number)))
         out = []
-        for at in range(0, len(cells), 4096):
-            some = cells[at:at + 4096]
-            least = np.zeros((len(some), len(self.book)), dtype=self.book.dtype)
+        for at in range(0, len(cells), CELLS):
+            n = min(CELLS, len(cells) - at)
+            least = np.zeros((n, len(self.book)), dtype=number)
             most = least.copy()
-            for j in range(some.shape[1]):
-                coarse, of = np.unique(some[:, j], return_inverse=True)
-                low = (coarse * self.cell)[:, None]
-                below, above = low - self.book[None, :, j], self.book[None, :, j] - (low + self.cell - 1)
-                near = np.maximum(np.maximum(below, above), 0)
-                far = np.maximum(abs(below), abs(above))
-                least += (near * near)[of]
-                most += (far * far)[of]
-            keep = least <= most.min(axis=1)[:, None]
-            row, entry = np.nonzero(keep)
-            out += np.split(entry.astype(np.uint16), np.searchsorted(row, np.arange(1, len(some))))
+            for of, near, far in tables:
+                own = of[at:at + n]
+                least += near[own]
+                most += far[own]
+            row, entry = np.nonzero(least <= most.min(axis=1)[:, None])
+            out += np.split(entry.astype(np.uint16), np.searchsorted(row, np.arange(1, n)))
         return out
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
