@@ -33,6 +33,8 @@ ALPHA = 0.05           # start learning rate
 DIM_SMALL = 8          # vector size of the initial-vector queries
 DIM_TRAIN = 50         # vector size of the registered training queries
 EPOCHS_TRAIN = 1       # epochs of the registered training queries
+EPOCHS_SYNC = 3        # epochs of the synchronous training queries
+BATCHES_SYNC = 2       # mini-batches of an epoch there
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,6 +266,25 @@ def q_cbow_batch_step(spark, sf):
     return _rounded_step(cbow_batch_step(chunks, words, inner, codes, WINDOW, SEED, ALPHA))
 
 
+def _fit_synchronous(spark, sf, method):
+    """All vectors after three epochs of mini-batches over the Huffman tree."""
+    from .synchronous import fit_synchronous
+    m = fit_synchronous(corpus.document_lines(spark, sf, "conversations"), method, DIM_SMALL, WINDOW, MIN_COUNT, SAMPLE,
+                        ALPHA, EPOCHS_SYNC, BATCHES_SYNC, MAX_LEN, SEED)
+    both = m.inner.select(F.lit("n").alias("kind"), F.col("node_id").alias("key"), "vector").unionByName(
+        m.words.select(F.lit("w").alias("kind"), F.col("word").alias("key"), "vector"))
+    # + 0.0: no negative zeros
+    return both.select("kind", "key", F.transform("vector", lambda x: F.round(x.cast("double"), 6) + F.lit(0.0)).alias("vector"))
+
+
+def q_train_skip_gram_sync(spark, sf):
+    return _fit_synchronous(spark, sf, "skip_gram")
+
+
+def q_train_cbow_sync(spark, sf):
+    return _fit_synchronous(spark, sf, "cbow")
+
+
 # ---- vector columns over the embeddings table (word = vec_id as text)
 
 def _emb(spark, sf):
@@ -413,6 +434,8 @@ QUERIES = {
     "sigmoid": q_sigmoid,
     "hs_batch_step": q_hs_batch_step,
     "cbow_batch_step": q_cbow_batch_step,
+    "train_skip_gram_sync": q_train_skip_gram_sync,
+    "train_cbow_sync": q_train_cbow_sync,
     "train_skip_gram": q_train_skip_gram,
     "train_cbow": q_train_cbow,
     "fit_and_query": q_fit_and_query,
@@ -586,12 +609,15 @@ def _int8(key_sql, mod):
     return f"(CAST('0x' || substr(md5({key_sql}), 1, 8) AS BIGINT) % {mod})"
 
 
-KEEP_PART = f""",
+def _keep_part(epochs: int, trained: str) -> str:
+    """From tokens to pairs and initial vectors; ``targets`` and ``pairs`` of the epochs that
+    the condition ``trained`` names."""
+    return f""",
 cs AS (SELECT count(*) AS c FROM tokens),
 tf AS (SELECT t.*, v.freq, v.freq / ({SAMPLE!r} * cs.c) AS r FROM tokens t JOIN vocab v USING (word), cs),
 kept AS (
   SELECT e.epoch, tf.doc_id, tf.line_no, tf.pos, tf.word FROM tf,
-         (SELECT CAST(unnest(range({EPOCHS})) AS INTEGER) AS epoch) e
+         (SELECT CAST(unnest(range({epochs})) AS INTEGER) AS epoch) e
   WHERE (sqrt(r) + 1) / r >= {_u16(f"'{SEED}|keep|' || e.epoch || '|' || tf.doc_id || '|' || tf.line_no || '|' || tf.pos")}
 ),
 info AS (
@@ -616,7 +642,7 @@ chunks AS (
 targets AS (
   SELECT epoch, doc_id, line_no, chunk, words, target_pos, words[target_pos + 1] AS target,
          CAST({WINDOW} - {_int8(f"'{SEED}|window|' || epoch || '|' || doc_id || '|' || line_no || '|' || chunk || '|' || target_pos", WINDOW)} AS INTEGER) AS width
-  FROM (SELECT *, CAST(unnest(range(len(words))) AS INTEGER) AS target_pos FROM chunks WHERE epoch = 0)
+  FROM (SELECT *, CAST(unnest(range(len(words))) AS INTEGER) AS target_pos FROM chunks WHERE {trained})
 ),
 pairs AS (
   SELECT epoch, doc_id, line_no, chunk, target_pos, context_pos, target, words[context_pos + 1] AS context
@@ -630,6 +656,9 @@ initv AS (
        / {float(DIM_SMALL)!r})::FLOAT) AS vector
   FROM vocab
 )"""
+
+
+KEEP_PART = _keep_part(EPOCHS, "epoch = 0")
 KEEP_SQL = VOCAB_SQL + KEEP_PART
 CONV_SQL = lines_sql("conversations") + TOKENS_PART + VOCAB_PART + KEEP_PART
 
@@ -711,7 +740,7 @@ def _step_out(terms_sql, node_delta, word_delta):
 
 def _g(x, alpha=ALPHA):
     f = _sig(x)
-    return f"(CASE WHEN {f} = 0.0 OR {f} = 1.0 THEN 0.0 ELSE (1.0 - bit - {f}) * {alpha!r} END)"
+    return f"(CASE WHEN {f} = 0.0 OR {f} = 1.0 THEN 0.0 ELSE (1.0 - bit - {f}) * {alpha} END)"
 
 
 HS_TERMS = f"""WITH {STEP_SQL},
@@ -782,7 +811,7 @@ ORACLES["huffman_cost"] = HUFFMAN_COST_SQL
 # merged nodes first-in first-out, first pick = bit 0. This is the tie rule of
 # operators/huffman.py, so codes must agree exactly. Codes are then assigned
 # from the root down.
-HUFFMAN_TREE_SQL = "WITH RECURSIVE " + VOCAB_SQL.lstrip() + """,
+HUFFMAN_TREE_PART = """,
 lv AS (SELECT word, freq, row_number() OVER (ORDER BY freq, word) AS li FROM vocab),
 leaves AS (SELECT list(freq ORDER BY li) AS l, count(*) AS v FROM lv),
 h(step, i, mj, m, a_l, a_id, b_l, b_id) AS (
@@ -813,8 +842,88 @@ walk(is_leaf, id, code) AS (
 ),
 hcodes AS (SELECT lv.word, lv.freq, w.code, CAST(len(w.code) AS INTEGER) AS code_len
            FROM walk w JOIN lv ON w.is_leaf AND lv.li = w.id)"""
+HUFFMAN_TREE_SQL = "WITH RECURSIVE " + VOCAB_SQL.lstrip() + HUFFMAN_TREE_PART
 
 ORACLES["huffman_codes"] = HUFFMAN_TREE_SQL + " SELECT * FROM hcodes"
 ORACLES["huffman_paths"] = HUFFMAN_TREE_SQL + """,
 steps AS (SELECT word, code, CAST(unnest(range(len(code))) AS INTEGER) AS step FROM hcodes)
 SELECT word, step, substr(code, 1, step) AS node_id, CAST(substr(code, step + 1, 1) AS INTEGER) AS bit FROM steps"""
+
+
+# ---- synchronous training, replayed step by step
+
+def _sums(key, terms, delta, times="1"):
+    """Elementwise sums of the float vectors ``delta`` of a terms table, by key."""
+    each = ", ".join(f"sum(({delta})[{i}]::DOUBLE * {times})" for i in range(1, DIM_SMALL + 1))
+    return f"(SELECT {key} AS key, [{each}] AS s FROM {terms} GROUP BY {key})"
+
+
+def _stepped(table, key, sums):
+    """The vectors of ``table``, float, with the sums added to them."""
+    return f"""(SELECT t.{key}, CASE WHEN d.s IS NULL THEN t.vector ELSE
+                 list_transform(list_zip(t.vector, d.s), lambda p: (p[1]::DOUBLE + p[2])::FLOAT) END AS vector
+          FROM {table} t LEFT JOIN {sums} d ON d.key = t.{key})"""
+
+
+def _sync_sql(method: str) -> str:
+    sql = "WITH RECURSIVE " + lines_sql("conversations").lstrip() + TOKENS_PART + VOCAB_PART \
+        + _keep_part(EPOCHS_SYNC, "true") + HUFFMAN_TREE_PART + f""",
+steps AS MATERIALIZED (
+  SELECT word, step, substr(code, 1, step) AS node_id, CAST(substr(code, step + 1, 1) AS INTEGER) AS bit
+  FROM (SELECT word, code, CAST(unnest(range(len(code))) AS INTEGER) AS step FROM hcodes)),
+dealt AS MATERIALIZED (
+  SELECT *, {_int8(f"'{SEED}|batch|' || epoch || '|' || doc_id || '|' || line_no || '|' || chunk", BATCHES_SYNC)} AS batch FROM pairs),
+w0 AS MATERIALIZED (SELECT * FROM initv),
+n0 AS MATERIALIZED (
+  SELECT DISTINCT node_id, list_transform(range({DIM_SMALL}), lambda i: 0::FLOAT) AS vector FROM steps)"""
+    for t in range(EPOCHS_SYNC * BATCHES_SYNC):
+        e, b = divmod(t, BATCHES_SYNC)
+        seen = f"({e} * c + c * {b} // {BATCHES_SYNC})"
+        rate = f"greatest({ALPHA!r} * (1.0 - {seen} / CAST({EPOCHS_SYNC} * c + 1 AS DOUBLE)), {ALPHA * 1e-4!r})"
+        sql += f""",
+rate{t} AS (SELECT {rate} AS alpha FROM cs),
+own{t} AS MATERIALIZED (SELECT * FROM dealt WHERE epoch = {e} AND batch = {b})"""
+        if method == "skip_gram":
+            sql += f""",
+x{t} AS MATERIALIZED (
+  SELECT p.context, s.node_id, s.bit, p.times, v.vector AS v, n.vector AS u, {_dot('v.vector', 'n.vector')} AS x
+  FROM (SELECT context, node_id, bit, count(*) AS times FROM own{t} JOIN steps ON word = target GROUP BY ALL) p
+  JOIN (SELECT DISTINCT node_id, bit FROM steps) s USING (node_id, bit)
+  JOIN w{t} v ON v.word = p.context JOIN n{t} n ON n.node_id = s.node_id),
+terms{t} AS MATERIALIZED (
+  SELECT context, node_id, times, list_transform(v, lambda a: (a::DOUBLE * g)::FLOAT) AS du,
+         list_transform(u, lambda a: (a::DOUBLE * g)::FLOAT) AS dv
+  FROM (SELECT *, {_g('x', 'alpha')} AS g FROM (SELECT x{t}.*, alpha FROM x{t}, rate{t}))),
+n{t + 1} AS MATERIALIZED {_stepped(f'n{t}', 'node_id', _sums('node_id', f'terms{t}', 'du', 'times'))},
+w{t + 1} AS MATERIALIZED {_stepped(f'w{t}', 'word', _sums('context', f'terms{t}', 'dv', 'times'))}"""
+        else:
+            sql += f""",
+ctx{t} AS MATERIALIZED (
+  SELECT doc_id, line_no, chunk, target_pos, target,
+         list_transform(list_reduce(vs, lambda acc, v: list_transform(list_zip(acc, v), lambda p: (p[1] + p[2])::FLOAT)),
+                        lambda x: (x::DOUBLE * (1.0 / len(vs)))::FLOAT) AS h
+  FROM (SELECT doc_id, line_no, chunk, target_pos, target, list(v.vector ORDER BY context_pos) AS vs
+        FROM own{t} JOIN w{t} v ON v.word = context GROUP BY ALL)),
+x{t} AS MATERIALIZED (
+  SELECT c.*, s.step, s.node_id, s.bit, n.vector AS u, {_dot('c.h', 'n.vector')} AS x
+  FROM ctx{t} c JOIN steps s ON s.word = c.target JOIN n{t} n ON n.node_id = s.node_id),
+terms{t} AS MATERIALIZED (
+  SELECT * EXCLUDE (h, u), list_transform(h, lambda a: (a::DOUBLE * g)::FLOAT) AS du,
+         list_transform(u, lambda a: (a::DOUBLE * g)::FLOAT) AS e
+  FROM (SELECT *, {_g('x', 'alpha')} AS g FROM (SELECT x{t}.*, alpha FROM x{t}, rate{t}))),
+errs{t} AS MATERIALIZED (
+  SELECT p.context, r.err FROM own{t} p JOIN (
+    SELECT doc_id, line_no, chunk, target_pos,
+           list_reduce(list(e ORDER BY step), lambda acc, v: list_transform(list_zip(acc, v), lambda p: (p[1] + p[2])::FLOAT)) AS err
+    FROM terms{t} GROUP BY ALL) r USING (doc_id, line_no, chunk, target_pos)),
+n{t + 1} AS MATERIALIZED {_stepped(f'n{t}', 'node_id', _sums('node_id', f'terms{t}', 'du'))},
+w{t + 1} AS MATERIALIZED {_stepped(f'w{t}', 'word', _sums('context', f'errs{t}', 'err'))}"""
+    last = EPOCHS_SYNC * BATCHES_SYNC
+    return sql + f"""
+SELECT 'n' AS kind, node_id AS key, list_transform(vector, lambda a: round(a::DOUBLE, 6) + 0.0) AS vector FROM n{last}
+UNION ALL
+SELECT 'w', word, list_transform(vector, lambda a: round(a::DOUBLE, 6) + 0.0) FROM w{last}"""
+
+
+ORACLES["train_skip_gram_sync"] = _sync_sql("skip_gram")
+ORACLES["train_cbow_sync"] = _sync_sql("cbow")
