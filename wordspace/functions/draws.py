@@ -40,3 +40,9 @@ def uniform_int(key: Column, modulus: int) -> Column:
     """Integer in 0..modulus-1 from 8 hex digits (32 bits) of md5(key)."""
     digits = F.substr(F.md5(key), F.lit(1), F.lit(8))
     return (F.conv(digits, 16, 10).cast("long") % F.lit(modulus)).cast("int")
+
+
+def uniform32(key: Column) -> Column:
+    """Uniform in [0, 1) in steps of 2**-32 from 8 hex digits of md5(key)."""
+    digits = F.substr(F.md5(key), F.lit(1), F.lit(8))
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 32))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_key, uniform16
+from ..functions.draws import draw_key, uniform16, uniform32
+from .joins import lookup_join
 from .prefix import running_sum
 
 # Fixed value: exponent of the unigram noise distribution.
@@ -25,6 +26,48 @@ def noise_distribution(vocab: DataFrame) -> DataFrame:
                       (F.col("cum_weight") / F.lit(total)).alias("cum_share"))
 
 
+#: Decimal places of the running share that draws are compared with: the order of a
+#: distributed sum reaches only places behind them.
+SHARE_PLACES = 12
+#: Words that a cell of the noise table holds on average.
+CELL_WORDS = 16
+
+
+def noise_cells(noise: DataFrame) -> tuple[DataFrame, int]:
+    """``(cell, words array, ends array)`` and the number of cells: the unit interval cut into
+    equal cells (a power of two), each with the words whose share of the interval reaches into
+    it, in order, and the ends of these shares. ``noise`` = ``noise_distribution(vocab)``."""
+    n = noise.count()
+    cells = 1 << max(0, (n // CELL_WORDS).bit_length())
+    end = F.round("cum_share", SHARE_PLACES)
+    start = F.greatest(F.lit(0.0), F.round(F.col("cum_share") - F.col("share"), SHARE_PLACES))
+    first, last = F.floor(start * cells), F.least(F.floor(end * cells), F.lit(cells - 1))
+    # a neighbour more on each side: rounded starts need not meet rounded ends
+    reach = F.sequence(F.greatest(F.lit(0), first - 1).cast("long"), F.greatest(first, F.least(last + 1, F.lit(cells - 1))).cast("long"))
+    rows = noise.select("word", end.alias("end"), F.explode(reach).alias("cell"))
+    held = rows.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("end", "word"))).alias("r"))
+    return held.select("cell", F.col("r.word").alias("words"), F.col("r.end").alias("ends")), cells
+
+
+def noise_draws(tokens: DataFrame, noise: DataFrame, draws: int, seed: int) -> DataFrame:
+    """``draws`` words per token, each word as often as its share of the noise distribution:
+    ``(doc_id, line_no, pos, draw, noise_word)``.
+
+    A draw is a keyed point of the unit interval, and its word the first whose running share
+    exceeds it. The point names a cell of ``noise_cells``, which holds a few words; cells are
+    equally likely, so tokens meet them without skew, whatever the word frequencies."""
+    if draws < 1:
+        raise ValueError("draws must be at least 1")
+    table, cells = noise_cells(noise)
+    table = table.checkpoint()
+    t = tokens.select("doc_id", "line_no", "pos", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    t = t.withColumn("u", uniform32(draw_key(seed, "noise", F.col("doc_id"), F.col("line_no"), F.col("pos"), F.col("draw"))))
+    t = lookup_join(t.withColumn("cell", F.floor(F.col("u") * cells)), table, "cell")
+    passed = F.size(F.filter("ends", lambda e: e <= F.col("u")))
+    return t.select("doc_id", "line_no", "pos", "draw",
+                    F.element_at("words", F.least(passed + 1, F.size("words"))).alias("noise_word"))
+
+
 def keep_probability_col(freq: Column, corpus_size: int, sample: float) -> Column:
     """p = (sqrt(r) + 1) / r with r = freq / (sample * corpus_size); a token
     is kept when p >= u. ``sample <= 0`` keeps everything (p = 1)."""

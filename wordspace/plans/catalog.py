@@ -18,12 +18,14 @@ from ..operators import sampling as smp
 from ..operators import sentences as sen
 from ..operators import tokens as tok
 from ..operators import weights as wts
+from ..session import drop_folder, shared_folder
 from ..sources import corpus, model_text, vocab_text
 
 # Parameters of the registered queries.
 MIN_COUNT = 5          # frequency cut of the demo set-up
 SAMPLE = 1e-4          # subsample rate
 SEED = 42
+NOISE_DRAWS = 2        # noise words per token
 TOP_N = 10             # answers per query (console loop)
 REPORT_N = 20          # answers per query (model-file demo report)
 WINDOW = 5             # context window (builder default)
@@ -104,6 +106,12 @@ def q_noise_distribution(spark, sf):
                      F.round("cum_share", 12).alias("cum_share"))
 
 
+def q_noise_draws(spark, sf):
+    """The noise words of every in-vocabulary token."""
+    _, vocab, _, tf = _stats(spark, sf)
+    return smp.noise_draws(tf, smp.noise_distribution(vocab), NOISE_DRAWS, SEED)
+
+
 def q_keep_probability(spark, sf):
     _, vocab, c, _ = _stats(spark, sf)
     return smp.keep_probability(vocab, c, SAMPLE)
@@ -199,11 +207,11 @@ def q_huffman_cost(spark, sf):
 
 # ---- training (rows-only checks; properties in tests/)
 
-def _fit(spark, sf, method):
+def _fit(spark, sf, method, **more):
     from .train import fit
     return fit(_lines(spark, sf), method=method, dim=DIM_TRAIN, window=WINDOW,
                min_count=MIN_COUNT, sample=SAMPLE, alpha=ALPHA, epochs=EPOCHS_TRAIN,
-               max_len=MAX_LEN, seed=SEED)
+               max_len=MAX_LEN, seed=SEED, **more)
 
 
 def q_train_skip_gram(spark, sf):
@@ -215,9 +223,17 @@ def q_train_cbow(spark, sf):
 
 
 def q_fit_and_query(spark, sf):
-    """The whole job: vocabulary, tree, training, then the 10 nearest words
-    (cosine) of every vocabulary word."""
-    return nn.nearest_all(_fit(spark, sf, "skip_gram").words, TOP_N, "cosine")
+    """The whole job: vocabulary, tree, training with its state in a store, the model saved,
+    loaded, written as text and read back normalised, then the 10 nearest words of every
+    vocabulary word."""
+    from ..sources import model_store
+    folder = shared_folder(spark, "model")
+    model = _fit(spark, sf, "skip_gram", store=f"{folder}/state")
+    version = model_store.save_model(model, f"{folder}/models")
+    model_text.write_model_text(model_store.load_model(spark, f"{folder}/models", version).words, f"{folder}/text")
+    read = model_text.read_model_text(spark, f"{folder}/text").checkpoint()
+    drop_folder(spark, folder)
+    return nn.nearest_all(read, TOP_N, "dot")
 
 
 def flagship(spark, sf):
@@ -367,6 +383,20 @@ def q_model_load_raw(spark, sf):
     return text_model(spark, sf, False)
 
 
+def q_model_stored(spark, sf):
+    """The embeddings saved as a version of a model store and loaded again."""
+    from ..sources import model_store
+    from .model import Model
+    words = raw_model(spark, sf)
+    none = words.limit(0)
+    codes = words.select("word", F.length("word").cast("long").alias("freq"), F.lit("").alias("code"), F.lit(0).alias("code_len"))
+    folder = shared_folder(spark, "model")
+    model_store.save_model(Model(words, none.select(F.col("word").alias("node_id"), "vector"), codes, codes, 0, 1), folder)
+    out = model_store.load_model(spark, folder).words.checkpoint()
+    drop_folder(spark, folder)
+    return out
+
+
 def _all_words(model):
     return model.select(F.col("word").alias("query"))
 
@@ -416,6 +446,7 @@ QUERIES = {
     "vocab_text": q_vocab_text,
     "in_vocab_tokens": q_in_vocab_tokens,
     "noise_distribution": q_noise_distribution,
+    "noise_draws": q_noise_draws,
     "keep_probability": q_keep_probability,
     "subsample": q_subsample,
     "epoch_tokens": q_epoch_tokens,
@@ -450,6 +481,7 @@ QUERIES = {
     "model_text": q_model_text,
     "model_load_normalized": q_model_load_normalized,
     "model_load_raw": q_model_load_raw,
+    "model_stored": q_model_stored,
     "nearest_dot": q_nearest_dot,
     "nearest_cosine": q_nearest_cosine,
     "nearest_all": q_nearest_all,
@@ -578,6 +610,7 @@ ORACLES.update({
         FROM ({_nearest_sql(NORM_MODEL_SQL, _dot('q.vector', 'c.vector'), REPORT_N)})""",
     "model_load_normalized": f"WITH {NORM_MODEL_SQL} SELECT * FROM m",
     "model_load_raw": f"WITH {RAW_MODEL_SQL} SELECT * FROM m",
+    "model_stored": f"WITH {RAW_MODEL_SQL} SELECT * FROM m",
     "nearest_dot": _nearest_sql(NORM_MODEL_SQL, _dot('q.vector', 'c.vector'), TOP_N),
     "nearest_cosine": _nearest_sql(RAW_MODEL_SQL, COSINE, TOP_N),
     "nearest_all": _nearest_sql(RAW_MODEL_SQL, COSINE, TOP_N),
@@ -675,6 +708,15 @@ ORACLES.update({
       SELECT word, freq, round(weight, 8) AS weight, round(weight / tot, 14) AS share,
              round(sum(weight) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / tot, 12) AS cum_share
       FROM w, t""",
+    "noise_draws": f"""WITH {VOCAB_SQL},
+      w AS (SELECT word, pow(CAST(freq AS DOUBLE), 0.75) AS weight FROM vocab),
+      d AS (SELECT word, round(sum(weight) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                               / (SELECT sum(weight) FROM w), 12) AS cum FROM w),
+      t AS (SELECT doc_id, line_no, pos, CAST(unnest(range({NOISE_DRAWS})) AS INTEGER) AS draw
+            FROM tokens WHERE word IN (SELECT word FROM vocab)),
+      u AS (SELECT *, CAST('0x' || substr(md5('{SEED}|noise|' || doc_id || '|' || line_no || '|' || pos || '|' || draw), 1, 8) AS BIGINT)
+                      / 4294967296.0 AS u FROM t)
+      SELECT doc_id, line_no, pos, draw, d.word AS noise_word FROM u ASOF JOIN d ON u.u < d.cum""",
     "keep_probability": f"""WITH {VOCAB_SQL}, cs AS (SELECT count(*) AS c FROM tokens),
       v AS (SELECT word, freq, freq / ({SAMPLE!r} * c) AS r FROM vocab, cs)
       SELECT word, freq, least(1.0, (sqrt(r) + 1) / r) AS keep_prob FROM v""",
