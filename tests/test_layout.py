@@ -11,7 +11,7 @@ from conftest import lines_df
 from wordspace.functions import vectors as V
 from wordspace.operators import sampling, tokens
 from wordspace.operators.joins import lookup_join, measure
-from wordspace.operators.vector_agg import weighted_mean
+from wordspace.operators.vector_agg import sum_by_key, weighted_mean
 from wordspace.plans.train import fit
 from wordspace.sources import model_text
 from wordspace.sources.corpus import lines_from_keyed_table, lines_from_text
@@ -81,7 +81,7 @@ def test_accumulator_skips_other_lengths_and_nulls(spark):
     rows = [("a", 1, [1.0, 2.0]), ("a", 2, [5.0]), ("a", 3, None), ("a", 4, [10.0, 20.0]), ("b", 1, None), ("b", 2, [1.0]),
             ("b", 3, [2.0, 3.0]), (None, 1, [4.0])]
     df = spark.createDataFrame(rows, "g string, i int, v array<float>").repartition(4)
-    got = {r.g: (r.n, list(r.vector)) for r in V.sum_by_key(df, ["g"], "v", ["i"]).collect()}
+    got = {r.g: (r.n, list(r.vector)) for r in sum_by_key(df, ["g"], "v", ["i"]).collect()}
     assert got == {"a": (2, [11.0, 22.0]), "b": (1, [1.0]), None: (1, [4.0])}
 
 

@@ -18,6 +18,7 @@ from ..operators import sampling as smp
 from ..operators import sentences as sen
 from ..operators import tokens as tok
 from ..operators import weights as wts
+from ..operators.vector_agg import sum_by_key
 from ..session import drop_folder, shared_folder
 from ..sources import corpus, model_text, vocab_text
 
@@ -55,6 +56,15 @@ def q_corpus_lines(spark, sf):
     return _lines(spark, sf)
 
 
+def q_corpus_file_lines(spark, sf):
+    """The corpus written as text files, one sentence a line, and read back in file order."""
+    folder = shared_folder(spark, "corpus")
+    _lines(spark, sf).orderBy("doc_id", "line_no").select("line").write.text(folder)
+    out = corpus.lines_from_text(spark, folder).checkpoint()
+    drop_folder(spark, folder)
+    return out
+
+
 def q_tokenize(spark, sf):
     return _tokens(spark, sf)
 
@@ -361,7 +371,7 @@ def q_vector_scale(spark, sf):
 
 
 def q_vector_sum(spark, sf):
-    return (V.sum_by_key(_emb(spark, sf), ["label"], "embedding", ["vec_id"], "s")
+    return (sum_by_key(_emb(spark, sf), ["label"], "embedding", ["vec_id"], "s")
             .select("label", "n", F.transform("s", lambda x: F.round(x, 6)).alias("vector")))
 
 
@@ -383,6 +393,15 @@ def q_model_load_raw(spark, sf):
     return text_model(spark, sf, False)
 
 
+def q_model_file(spark, sf):
+    """The embeddings written as a model text file and loaded, normalised, from it."""
+    folder = shared_folder(spark, "model")
+    model_text.write_model_text(raw_model(spark, sf), folder)
+    out = model_text.read_model_text(spark, folder).checkpoint()
+    drop_folder(spark, folder)
+    return out
+
+
 def q_model_stored(spark, sf):
     """The embeddings saved as a version of a model store and loaded again."""
     from ..sources import model_store
@@ -438,6 +457,7 @@ def q_nearest_report(spark, sf):
 
 QUERIES = {
     "corpus_lines": q_corpus_lines,
+    "corpus_file_lines": q_corpus_file_lines,
     "tokenize": q_tokenize,
     "corpus_size": q_corpus_size,
     "word_count": q_word_count,
@@ -481,6 +501,7 @@ QUERIES = {
     "model_text": q_model_text,
     "model_load_normalized": q_model_load_normalized,
     "model_load_raw": q_model_load_raw,
+    "model_file": q_model_file,
     "model_stored": q_model_stored,
     "nearest_dot": q_nearest_dot,
     "nearest_cosine": q_nearest_cosine,
@@ -531,6 +552,8 @@ VOCAB_SQL = TOKENS_SQL + VOCAB_PART
 
 ORACLES = {
     "corpus_lines": f"WITH {LINES_SQL} SELECT * FROM lines",
+    "corpus_file_lines": f"""WITH {LINES_SQL}
+        SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS doc_id, 0 AS line_no, line FROM lines""",
     "tokenize": f"WITH {TOKENS_SQL} SELECT * FROM tokens",
     "corpus_size": f"WITH {TOKENS_SQL} SELECT count(*) AS corpus_size FROM tokens",
     "word_count": f"WITH {TOKENS_SQL} SELECT word, count(*) AS freq FROM tokens GROUP BY word",
@@ -610,6 +633,7 @@ ORACLES.update({
         FROM ({_nearest_sql(NORM_MODEL_SQL, _dot('q.vector', 'c.vector'), REPORT_N)})""",
     "model_load_normalized": f"WITH {NORM_MODEL_SQL} SELECT * FROM m",
     "model_load_raw": f"WITH {RAW_MODEL_SQL} SELECT * FROM m",
+    "model_file": f"WITH {NORM_MODEL_SQL} SELECT * FROM m",
     "model_stored": f"WITH {RAW_MODEL_SQL} SELECT * FROM m",
     "nearest_dot": _nearest_sql(NORM_MODEL_SQL, _dot('q.vector', 'c.vector'), TOP_N),
     "nearest_cosine": _nearest_sql(RAW_MODEL_SQL, COSINE, TOP_N),
