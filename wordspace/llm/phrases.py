@@ -7,12 +7,14 @@
 2. A merged stripe gives the extensions (entries of ``min_count`` or more), the prefix's
    total (all entries) and what subsumption needs: its largest entry is the most frequent
    extension to the right, and each entry bounds its own last words' extension to the left.
-3. A phrase can only reach ``min_count`` if both phrases one word shorter do. A bit filter
+3. A phrase can only reach ``min_count`` if both phrases one word shorter do, so the texts
+   are read again for longer ones (beyond three words, for two sizes at a time). A bit filter
    over those, of at most ``FILTER_BYTES``, is sent to the tasks; whatever passes by chance
    is counted like the rest and fails the exact count, so its size bounds work, never results.
-4. The stripe of a prefix with many occurrences is cut into slices by next word, so that no
-   merge holds more than about a 100,000th of all words' occurrences (4 million at least);
-   there are at most that many slices by construction. A merge keeps one merged stripe.
+4. Stripes travel in buckets of prefixes: one row a bucket and run of texts, with a word
+   list of its own. The stripe of a prefix with many occurrences is cut into slices by next
+   word, so that none holds more than about a 100,000th of all words' occurrences (4 million
+   at least), and slices go to different buckets. A merge keeps the sums of one bucket.
 5. Each candidate's cuts look up the counts of both parts; scores are exact decimals.
 
 Words are runs without blanks and tabs in pieces cut at . , ; : ! ? and line ends, A-Z
@@ -23,6 +25,8 @@ text and the language are not read.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +46,8 @@ VOCAB_WORDS = 500_000       # words that a task numbers before it starts anew
 CHUNK_BYTES = 1 << 22       # of one text, taken apart at a time
 FILTER_BYTES, SEGMENTS = 32 << 20, 64
 GROUP, GROUPS = 1 << 22, 100_000
+BUCKETS, MAX_BUCKETS = 16, 1 << 14
+MERGE_ROWS = 1 << 21        # rows of stripes that wait for a merge
 BREAK = b"\xff"             # in no UTF-8 text
 
 #: A-Z to lower case, marks and line ends that part pieces to BREAK, tab to blank.
@@ -70,28 +76,38 @@ def tokens(text: bytes | None) -> Iterator[list[bytes]]:
         at = to
 
 
+class Numbers(dict):
+    """Numbers of strings in the order they come; "" is 0."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+
+    def __missing__(self, text: str) -> int:
+        self[text] = n = len(self)
+        return n
+
+
 class Words(dict):
-    """Numbers (from 1; 0 is BREAK) and hashes of one language's words."""
+    """Numbers (from 1; 0 is BREAK), hashes and names of one language's words."""
 
     def __init__(self, lang: str):
         super().__init__({BREAK: 0})
-        self.key = lang.encode() + b"\0"
+        self.lang, self.key = lang, lang.encode() + b"\0"
         self.hash = np.zeros(1, dtype=np.uint64)
+        self.names = [""]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.names.append(word.decode())
         return n
 
     def hashes(self) -> np.ndarray:
         if len(self.hash) < len(self):
-            new = list(self)[len(self.hash):]
-            own = np.array([xxhash.xxh3_64_intdigest(self.key + w) for w in new], dtype=np.uint64)
+            new = self.names[len(self.hash):]
+            own = np.array([xxhash.xxh3_64_intdigest(self.key + w.encode()) for w in new], dtype=np.uint64)
             self.hash = np.concatenate([self.hash, own])
         return self.hash
 
-    def texts(self) -> pa.Array:
-        return pa.array(["", *(w.decode() for w in list(self)[1:])], pa.string())
-
 
 def _runs(batches, batch_words: int):
     """(language, its words, the numbers of a run of texts): about ``batch_words`` at a time."""
@@ -110,10 +126,10 @@ def _runs(batches, batch_words: int):
             if (words := vocab.get(lang)) is None:
                 words = vocab[lang] = Words(lang)
             for some in tokens(text):
-                held.setdefault(lang, []).append(np.fromiter(map(words.__getitem__, some), dtype=np.int64, count=len(some)))
+                held.setdefault(lang, []).append(np.fromiter(map(words.__getitem__, some), dtype=np.int32, count=len(some)))
                 n += len(some)
             if lang in held:
-                held[lang].append(np.zeros(1, dtype=np.int64))  # a text ends
+                held[lang].append(np.zeros(1, dtype=np.int32))  # a text ends
         if n >= batch_words:
             yield from out()
             n = 0
@@ -130,9 +146,8 @@ class Sketch:
 
     @staticmethod
     def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        again = _mix(h + np.uint64(1))
-        return (h % np.uint64(SEGMENTS)).astype(np.int64), ((h >> np.uint64(6)) % np.uint64(bits)).astype(np.int64), \
-            (again % np.uint64(bits)).astype(np.int64)
+        again, last = _mix(h + np.uint64(1)), np.uint64(bits - 1)
+        return (h & np.uint64(SEGMENTS - 1)).astype(np.int64), ((h >> np.uint64(6)) & last).astype(np.int64), (again & last).astype(np.int64)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         s, a, b = self.places(h, self.bits)
@@ -189,100 +204,147 @@ def _count_words(batch_words: int):
     def local(batches):
         for lang, words, ids in _runs(batches, batch_words):
             count = np.bincount(ids, minlength=len(words))
-            count[0] = count[1:].sum()  # words.texts() has "" there
+            count[0] = count[1:].sum()
             some = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), words.texts().take(pa.array(some)),
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()),
+                                              pa.array([words.names[i] for i in some.tolist()], pa.string()),
                                               pa.array(count[some].astype(np.int64))], names=["lang", "word", "f"])
     return local
 
 
-STRIPE = "lang string, prefix string, slice int, next array<string>, n array<long>"
+STRIPES = "lang string, size int, bucket int, counters binary"
 
 
-def stripes_of(ids: np.ndarray, words: Words, size: int, filters: list[Sketch], hot) -> pa.RecordBatch | None:
-    """Stripes of the prefixes of ``size - 1`` words in one run of texts. ``filters[j]``
-    knows the phrases of j + 1 words that count."""
+def _small(values: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes each as hold them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def stripes_of(ids: np.ndarray, words: Words, sizes: list[int], filters: list[Sketch], hot, buckets: int):
+    """Stripes of the prefixes of ``size - 1`` words in one run of texts (which ends in a
+    BREAK), for each of the rising ``sizes``: one row a bucket of prefixes, with a word list
+    of its own, the prefixes as numbers in it, and their counters one after another.
+    ``filters[j]`` knows the phrases of j + 1 words that count."""
     hashes = words.hashes()
-    ok = filters[0].has(hashes)[ids] & (ids != 0)
-    h = hashes[ids]
-    for j in range(2, size):  # phrases of j words that may count, by their first place
-        ok = ok[:-1] & ok[1:]
-        at = np.flatnonzero(ok)
-        h = h[:-1].copy()
-        h[at] = _longer(h[at], hashes[ids[at + j - 1]])
-        ok[at] = filters[j - 1].has(h[at])
-    k = size - 1
-    at = np.flatnonzero(ok)  # every occurrence of a prefix
-    if not len(at):
-        return None
-    code = ids[at]
-    for j in range(1, k):  # exact identities, not hashes
-        code = np.unique(code * len(words) + ids[at + j], return_inverse=True)[1]
+    ok = (filters[0].has(hashes))[ids] & (ids != 0)
+    at = np.flatnonzero(ok)
+    h = head = hashes[ids[at]]
+    for k in range(1, sizes[-1]):
+        if k > 1:  # phrases of k words that may count, by their first place
+            both = ok[at + 1]
+            at, h, head = at[both], h[both], head[both]
+            h = _longer(h, hashes[ids[at + k - 1]])
+            if k <= len(filters):
+                known = filters[k - 1].has(h)
+                at, h = at[known], h[known]
+                head = h  # of the longest beginning whose count is known
+            ok = np.zeros(len(ids), dtype=bool)
+            ok[at] = True
+        if k + 1 in sizes and len(at):
+            yield from _pack(ids, words, hashes, at, h, head, np.where(ok[at + 1], ids[at + k], 0), k, hot, buckets)
+
+
+def _codes(columns: list[np.ndarray], width: int) -> np.ndarray:
+    """One whole number for each distinct row of the columns, whose values are below ``width``."""
+    code = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        code = np.unique(code, return_inverse=True)[1] if len(code) and int(code.max()) >= (1 << 62) // width else code
+        code = code * width + c
+    return code
+
+
+def _pack(ids, words: Words, hashes, at, h, head, follow, k: int, hot, buckets: int):
+    """Rows of the stripes of all occurrences ``at`` of prefixes of ``k`` words (hashes ``h``,
+    ``head`` of the beginning by which ``hot`` tells slices; no prefix is more frequent);
+    ``follow`` is the next word, 0 where nothing tracked follows."""
+    code = _codes([ids[at + j] for j in range(k)], len(words))
     first, prefix = np.unique(code, return_index=True, return_inverse=True)[1:]
-    follows = np.concatenate([ok, [False]])[at + 1]  # the last k words of prefix and next count too
-    follow = np.where(follows, ids[np.minimum(at + k, len(ids) - 1)], 0)  # 0: nothing tracked
     pairs, n = np.unique(prefix * len(words) + follow, return_counts=True)
     p, w = pairs // len(words), pairs % len(words)
-    slices = np.ones(len(first), dtype=np.int64)
+    own = h[first]
+    slices = np.ones(len(first), dtype=np.uint64)
     if len(hot[0]):
-        place = np.minimum(np.searchsorted(hot[0], h[at[first]]), len(hot[0]) - 1)
-        slices = np.where(hot[0][place] == h[at[first]], hot[1][place], 1)
-    part = ((hashes[w] >> np.uint64(8)) % slices[p].astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((part, p))
-    p, w, n, part = p[order], w[order], n[order], part[order]
-    begin = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 0) | (np.diff(part) != 0))))
-    texts = words.texts()
-    columns = [texts.take(pa.array(ids[at[first[p[begin]]] + j])) for j in range(k)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([words.key[:-1].decode()] * len(begin), pa.string()),
-         columns[0] if k == 1 else pc.binary_join_element_wise(*columns, " "), pa.array(part[begin].astype(np.int32)),
-         pa.ListArray.from_arrays(pa.array(np.append(begin, len(p)).astype(np.int32)), texts.take(pa.array(w))),
-         pa.ListArray.from_arrays(pa.array(np.append(begin, len(p)).astype(np.int32)), pa.array(n.astype(np.int64)))],
-        names=["lang", "prefix", "slice", "next", "n"])
+        known = head[first]
+        place = np.minimum(np.searchsorted(hot[0], known), len(hot[0]) - 1)
+        slices = np.where(hot[0][place] == known, hot[1][place], 1).astype(np.uint64)
+    part = _mix(hashes[w]) % slices[p]
+    bucket = (_mix(own[p] + part) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((p, bucket))
+    p, w, n, bucket = p[order], w[order], n[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
+        begin = np.flatnonzero(np.concatenate(([True], np.diff(p[a:b]) != 0)))
+        places = at[first[p[a:b][begin]]]
+        refs = np.concatenate([*(ids[places + j] for j in range(k)), w[a:b]])
+        used, refs = np.unique(refs, return_inverse=True)
+        m = len(begin)
+        lengths = np.diff(np.append(begin, b - a))
+        names = " ".join([words.names[i] for i in used.tolist()])  # no word holds a blank
+        packed = pickle.dumps((names, *map(_small, (refs[:k * m], lengths, refs[k * m:], n[a:b]))), protocol=5)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([words.lang]), pa.array([k + 1], pa.int32()), pa.array([bucket[a]], pa.int32()),
+             pa.array([zlib.compress(packed, 1)], pa.binary())], names=["lang", "size", "bucket", "counters"])
+
+
+class Merge:
+    """The stripes of one (lang, size, bucket), summed elementwise."""
+
+    def __init__(self, key: tuple[str, int, int]):
+        self.key, self.names = key, Numbers()
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of (prefix words..., next), counts
+        self.rows = 0
+
+    def add(self, words: list[str], prefix, lengths, follow, n) -> None:
+        number = np.fromiter(map(self.names.__getitem__, words), dtype=np.int64, count=len(words))
+        k = self.key[1] - 1
+        heads = number[prefix].reshape(k, -1)
+        self.held.append((np.vstack([np.repeat(heads, lengths, axis=1), number[follow][None, :]]), n.astype(np.int64)))
+        self.rows += len(n)
+        if self.rows > MERGE_ROWS and len(self.held) > 1:
+            self._sum()
+
+    def _sum(self) -> None:
+        rows, n = np.concatenate([r for r, _ in self.held], axis=1), np.concatenate([c for _, c in self.held])
+        first, of = np.unique(_codes(list(rows), len(self.names)), return_index=True, return_inverse=True)[1:]
+        total = np.zeros(len(first), dtype=np.int64)
+        np.add.at(total, of, n)
+        # smaller sums are not tried again until as many rows came anew
+        self.held, self.rows = [(rows[:, first], total)], 0
+
+    def out(self, min_count: int) -> pa.RecordBatch:
+        """(lang, size, prefix, next, f) of the entries that count; f of next "" is the total."""
+        self._sum()
+        rows, f = self.held[0]
+        first, of = np.unique(_codes(list(rows[:-1]), len(self.names)), return_index=True, return_inverse=True)[1:]
+        total = np.zeros(len(first), dtype=np.int64)
+        np.add.at(total, of, f)
+        keep = np.flatnonzero((f >= min_count) & (rows[-1] != 0))
+        names = pa.array(list(self.names), pa.string())
+        at = np.concatenate([keep, first])
+        heads = [names.take(pa.array(rows[j][at])) for j in range(len(rows) - 1)]
+        follow = np.concatenate([rows[-1][keep], np.zeros(len(first), dtype=np.int64)])
+        lang, size, _ = self.key
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(at), pa.string()), pa.array([size] * len(at), pa.int32()),
+             heads[0] if len(heads) == 1 else pc.binary_join_element_wise(*heads, " "), names.take(pa.array(follow)),
+             pa.array(np.concatenate([f[keep], total]))], names=["lang", "size", "prefix", "next", "f"])
 
 
 def _merge(min_count: int):
-    """Elementwise sums of the stripes of each (lang, prefix, slice), which come in order:
-    (lang, prefix, next, f) of the entries that count, and f of next "" is the total."""
-    def out(keys: list[tuple], merged: pa.Table):
-        g, f = merged["g"].to_numpy(), merged["n_sum"].to_numpy()
-        total = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(total, g, f)
-        text = merged["next"]
-        keep = np.flatnonzero((f >= min_count) & pc.not_equal(text, "").to_numpy(zero_copy_only=False))
-        have = np.unique(g)
-        lang, prefix = (pa.array([k[i] for k in keys], pa.string()) for i in (0, 1))
-        of = pa.array(np.concatenate([g[keep], have]))
-        return pa.RecordBatch.from_arrays(
-            [lang.take(of), prefix.take(of),
-             pa.concat_arrays([text.take(pa.array(keep)).combine_chunks() if len(keep) else pa.array([], pa.string()),
-                               pa.array([""] * len(have), pa.string())]),
-             pa.array(np.concatenate([f[keep], total[have]]))], names=["lang", "prefix", "next", "f"])
-
+    """Merged stripes, from rows in the order of their (lang, size, bucket)."""
     def local(batches):
-        carry, last = None, None  # the merged stripe of the last key, which may go on
+        now = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            keys, of = [last] if carry is not None else [], []
-            for r in rows:
-                if not keys or keys[-1] != r:
-                    keys.append(r)
-                of.append(len(keys) - 1)
-            size = b.column(3).value_lengths().to_numpy(zero_copy_only=False)
-            flat = pa.table({"g": pa.array(np.repeat(np.array(of, dtype=np.int64), size)), "next": b.column(3).flatten().cast(pa.string()),
-                             "n": b.column(4).flatten()})
-            if carry is not None:
-                flat = pa.concat_tables([pa.table({"g": pa.array(np.zeros(len(carry), dtype=np.int64)), "next": carry["next"],
-                                                   "n": carry["n_sum"]}), flat])
-            merged = flat.group_by(["g", "next"]).aggregate([("n", "sum")])
-            open_ = pc.equal(merged["g"], len(keys) - 1)
-            if len(keys) > 1:
-                yield out(keys, merged.filter(pc.invert(open_)))
-            carry, last = merged.filter(open_), keys[-1]
-        if carry is not None:
-            yield out([last], pa.table({"g": pa.array(np.zeros(len(carry), dtype=np.int64)), "next": carry["next"], "n_sum": carry["n_sum"]}))
+            for i in range(b.num_rows):
+                key = tuple(b.column(j)[i].as_py() for j in range(3))
+                if now is None or now.key != key:
+                    if now is not None:
+                        yield now.out(min_count)
+                    now = Merge(key)
+                words, *counters = pickle.loads(zlib.decompress(b.column(3)[i].as_py()))
+                now.add(words.split(" "), *counters)
+        if now is not None:
+            yield now.out(min_count)
     return local
 
 
@@ -312,34 +374,41 @@ def phrase_counts(docs: DataFrame, max_words: int = 5, min_count: int = 100, bat
     level = counted.where((F.col("word") != "") & (F.col("f") >= min_count)).select("lang", F.col("word").alias("phrase"), "f")
     n = totals.agg(F.sum("n")).first()[0] or 0
     phrases = level.withColumn("words", F.lit(1))
-    longer, prefixes, filters = None, None, []
-    for size in range(2, max_words + 1):
+    buckets = BUCKETS
+    while buckets < MAX_BUCKETS and n > buckets * GROUP:
+        buckets *= 2
+    longer, prefixes, filters, size = None, None, [], 2
+    while size <= max_words:
+        sizes = [x for x in ([size] if size < 4 else [size, size + 1]) if x <= max_words]
         sketch, hot = _sketch(level, n)
         filters.append(sketch)
         sent = spark.sparkContext.broadcast((list(filters), hot))
 
-        def stripes(batches, size=size, sent=sent):
+        def stripes(batches, sizes=sizes, sent=sent):
             known, many = sent.value
             for _, words, ids in _runs(batches, batch_words):
-                b = stripes_of(ids, words, size, known, many)
-                if b is not None:
-                    yield b
-        merged = (texts.mapInArrow(stripes, STRIPE).repartition("lang", "prefix", "slice")
-                  .sortWithinPartitions("lang", "prefix", "slice")
-                  .mapInArrow(_merge(min_count), "lang string, prefix string, next string, f long").checkpoint())
+                yield from stripes_of(ids, words, sizes, known, many, buckets)
+        merged = (texts.mapInArrow(stripes, STRIPES).repartition("lang", "size", "bucket")
+                  .sortWithinPartitions("lang", "size", "bucket")
+                  .mapInArrow(_merge(min_count), "lang string, size int, prefix string, next string, f long").checkpoint())
         entries = merged.where("next != ''")
-        level = entries.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "f")
-        tail = F.concat_ws(" ", F.regexp_replace("prefix", "^[^ ]* ?", ""), "next")
-        if size == 2:
-            tail = F.col("next")
+        tail = F.when(F.col("size") == 2, F.col("next")).otherwise(F.concat_ws(" ", F.regexp_replace("prefix", "^[^ ]* ", ""), "next"))
         held = entries.select("lang", F.col("prefix").alias("phrase"), "f").unionByName(
             entries.select("lang", tail.alias("phrase"), "f"))
         longer = held if longer is None else longer.unionByName(held)
-        ends = merged.where("next = ''").groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("f").alias("f"))
+        # prefixes of several slices meet; those below the count have no entries
+        ends = (merged.where("next = ''").groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("f").alias("f"))
+                .where(F.col("f") >= min_count))
         prefixes = ends if prefixes is None else prefixes.unionByName(ends)
-        phrases = phrases.unionByName(level.withColumn("words", F.lit(size)))
+        found = entries.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "f", F.col("size").alias("words"))
+        phrases = phrases.unionByName(found)
+        level = found.where(F.col("words") == sizes[-1]).drop("words")
         if level.isEmpty():
             break
+        for x in sizes[1:]:  # a filter for each number of words that a longer pass builds on
+            if sizes[-1] < max_words:
+                filters.append(_sketch(found.where(F.col("words") == x - 1).drop("words"), n)[0])
+        size = sizes[-1] + 1
     if longer is None:
         return Counts(phrases.withColumn("extended", F.lit(0).cast("long")), level.limit(0), totals)
     most = longer.groupBy("lang", "phrase").agg(F.max("f").alias("extended"))
