@@ -3,15 +3,16 @@
 1. Every task hashes the keys of its documents' lines (128 bits) and counts them before
    anything moves; one partial aggregate then gives each distinct hash its number of
    documents and the largest doc_id that holds it.
-2. Hashes found in at least two documents are dealt over shards. Each shard becomes a
-   minimal perfect hash (levels of bits, collisions go on to the next level) whose slot
-   indexes three arrays: a 64-bit fingerprint, the count, and the largest doc_id. A line
-   found once needs no entry: its fingerprint will not match.
+2. Hashes found in at least ``min_docs`` documents are dealt over shards. Each shard
+   becomes a minimal perfect hash (levels of bits, collisions go on to the next level) whose
+   slot indexes three arrays: a 64-bit fingerprint, the count, and the largest doc_id. Other
+   lines need no entry: their fingerprints will not match.
 3. Documents probe the arrays. Lines are not joined and texts are not shuffled while the
    arrays fit ``broadcast_bytes`` (their measured size is compared, not guessed). Beyond
    it, the most frequent hashes (at most ``hot_keys`` of them, by construction) are still
-   sent to all tasks, and the hashes of the other lines are dealt to the tasks that hold
-   their shard, so that no line, however frequent, gathers in one task.
+   sent to all tasks, and the hashes of the other lines go to the tasks that hold
+   their shard and are probed batch by batch, so that no line, however frequent, gathers in
+   one task, and a task holds one shard's arrays whatever is asked of it.
 
 Defined results: a null or empty text is one empty line. A row is a document; rows that
 repeat a doc_id count each. A null doc_id sorts below all others. Empty tables give empty
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, utf8
+from .common import boxed, prepare, unboxed, utf8
 
 NO_ID = -(1 << 63)          # a null doc_id: below all others
 SHARDS, SHARD_KEYS = 64, 131_072
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 100_000
+ASKED_ROWS = 2_000_000      # hashes asked of one shard, on average, before copies of it share them
 _ROWS = "h1 long, h2 long, n long, m long"
 
 
@@ -186,7 +188,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     spark = docs.sparkSession
     if min_docs < 2:
         raise ValueError("min_docs must be at least 2")
-    keys = line_counts(docs, min_chars).where("n >= 2").checkpoint()
+    keys = line_counts(docs, min_chars).where(F.col("n") >= min_docs).checkpoint()
     size = keys.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
     n_shards = 1 << max(SHARDS.bit_length() - 1, (size["k"] // SHARD_KEYS).bit_length())
     every = size["k"] * 21 <= broadcast_bytes  # 20 bytes of arrays and about 4 bits of levels a key
@@ -198,54 +200,78 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     return _drop(docs, sent, far, min_chars, min_docs)
 
 
+def _row_tag():
+    """Tells rows of one doc_id, or without one, apart by their texts."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+
+
 def _probe_far(docs: DataFrame, keys: DataFrame, sent, n_shards: int, min_chars: int, min_docs: int) -> DataFrame:
-    """(doc_id, gone): by document, the hashes to drop among those that were not sent to
-    all tasks. Only hashes move, to the task that builds their shard."""
+    """(doc_id, tag, gone): by document, the hashes to drop among those that were not sent to
+    all tasks. Only hashes move: a task takes its shard's index, then the hashes asked of it
+    batch by batch. Where many are asked of a shard, they and copies of its index are dealt
+    over several tasks."""
     def probes(batches):
         for b in batches:
-            ids, hs = [], []
-            for doc, text in zip(_doc_key(b.column(0)), utf8(b.column(1))):
+            ids, tags, hs = [], [], []
+            for doc, text, tag in zip(_doc_key(b.column(0)), utf8(b.column(1)), b.column(2).to_pylist()):
                 own = list({x for x in _hashes((text or b"").split(b"\n"), min_chars) if x})
                 ids += [doc] * len(own)
+                tags += [tag] * len(own)
                 hs += own
             h1, h2 = _pair(hs) if hs else (np.zeros(0, np.uint64),) * 2
             cold = sent.value.probe(h1, h2)[0] == 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, dtype=np.int64)[cold]), pa.array(h1[cold].view(np.int64)), pa.array(h2[cold].view(np.int64))],
-                names=["doc_id", "h1", "h2"])
+                [pa.array(np.array(x, dtype=np.int64)[cold]) for x in (ids, tags)] + [pa.array(h[cold].view(np.int64)) for h in (h1, h2)],
+                names=["doc_id", "tag", "h1", "h2"])
 
-    def lookup(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right) or not len(left):
-            return left.iloc[:0][["doc_id", "h1", "h2"]]
-        index = pickle.loads(right["index"].iloc[0])
-        count, largest = index.probe(left["h1"].to_numpy().view(np.uint64), left["h2"].to_numpy().view(np.uint64))
-        return left[(count >= min_docs) & (largest != left["doc_id"].to_numpy())][["doc_id", "h1", "h2"]]
-
-    schema = "doc_id long, h1 long, h2 long"
-    asked = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(probes, schema)
-             .withColumn("shard", _shard_of(n_shards)))
-    gone = asked.groupBy("shard").cogroup(_shards(keys, n_shards).groupBy("shard")).applyInPandas(lookup, schema)
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    def lookup(batches):
+        at, index = None, None
+        for b in batches:
+            shard, salt = (b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("shard", "salt"))
+            cuts = (np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0)) + 1).tolist()
+            for first, end in zip([0, *cuts], [*cuts, b.num_rows]):
+                if first == end:
+                    continue
+                if at != (shard[first], salt[first]):
+                    at, index = (shard[first], salt[first]), None
+                own = b.slice(first, end - first)
+                for packed in own.column(names.index("index")).drop_null().to_pylist():
+                    index = pickle.loads(packed)
+                own = own.filter(own.column(names.index("h1")).is_valid())
+                if index is None or not own.num_rows:
+                    continue
+                doc, h1, h2 = (own.column(names.index(c)).to_numpy() for c in ("doc_id", "h1", "h2"))
+                count, largest = index.probe(h1.view(np.uint64), h2.view(np.uint64))
+                yield own.filter(pa.array((count >= min_docs) & (largest != doc))).select(["doc_id", "tag", "h1", "h2"])
+
+    schema = "doc_id long, tag long, h1 long, h2 long"
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_tag().alias("tag")).mapInArrow(probes, schema).checkpoint()
+    salts = 1 + asked.count() // (n_shards * ASKED_ROWS)
+    asked = asked.withColumns({"shard": _shard_of(n_shards), "salt": F.pmod(F.xxhash64("doc_id", "tag", "h2"), F.lit(salts))})
+    index = _shards(keys, n_shards).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    both = asked.unionByName(index, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.isnull("index"))
+    names = both.columns
+    gone = both.mapInArrow(lookup, schema)
+    return gone.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 
 def _drop(docs: DataFrame, sent, far: DataFrame | None, min_chars: int, min_docs: int) -> DataFrame:
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(*cols)
-    out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    cols = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    keep = ["doc_id", "text"]
+    rows = boxed(docs.select(*cols), keep).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     if far is None:
-        rows = docs.withColumn("__gone", F.lit(None).cast("array<struct<h1:long,h2:long>>"))
+        rows = rows.withColumn("gone", F.lit(None).cast("array<struct<h1:long,h2:long>>"))
     else:
-        far = far.withColumnRenamed("doc_id", "__id")
-        rows = docs.join(far, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__id"), "left").drop("__id")
-        rows = rows.withColumnRenamed("gone", "__gone")
-    rows = rows.withColumn("__doc", F.col("doc_id").cast("long"))
-    text_at, width = cols.index("text"), len(cols)
+        far = far.withColumnsRenamed({"doc_id": "far_id", "tag": "far_tag"})
+        rows = rows.join(far, (F.col("doc") == F.col("far_id")) & (_row_tag() == F.col("far_tag")), "left")
+    rows = rows.select("doc_id", "text", "row", "doc", "gone")
+    out = T.StructType([rows.schema["doc_id"], rows.schema["text"], rows.schema["row"],
+                        T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def local(batches):
         for b in batches:
-            gone = b.column(width).to_pylist()
-            ids = _doc_key(b.column(width + 1))
-            lines = [(t or b"").split(b"\n") for t in utf8(b.column(text_at))]
+            ids, gone = b.column(3).to_pylist(), b.column(4).to_pylist()
+            lines = [(t or b"").split(b"\n") for t in utf8(b.column(1))]
             hashes = [_hashes(x, min_chars) for x in lines]
             flat = [h for hs in hashes for h in hs if h]
             h1, h2 = _pair(flat) if flat else (np.zeros(0, np.uint64),) * 2
@@ -263,8 +289,8 @@ def _drop(docs: DataFrame, sent, far: DataFrame | None, min_chars: int, min_docs
                     flags = iter(drop.tolist())
                     own = [x for x, h in zip(own, hs) if h is None or not next(flags)]
                 texts.append(b"\n".join(own))
-            arrays = [b.column(i) for i in range(width)]
-            arrays[text_at] = pa.array(texts, type=pa.binary()).cast(b.schema.field(text_at).type)
-            arrays += [pa.array([len(x) for x in lines], type=pa.int64()), pa.array(n_dropped, type=pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*cols, "n_lines", "n_dropped"])
-    return rows.mapInArrow(local, out)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(texts, type=pa.binary()).cast(b.schema.field(1).type), b.column(2),
+                 pa.array([len(x) for x in lines], type=pa.int64()), pa.array(n_dropped, type=pa.int64())],
+                names=["doc_id", "text", "row", "n_lines", "n_dropped"])
+    return unboxed(rows.mapInArrow(local, out), cols, keep, "n_lines", "n_dropped")
