@@ -35,7 +35,8 @@ def test_query_matches_its_sql(spark, con, name):
 
 COLUMNS = {
     "op1_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
-    "op3_mix_sources": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
+    "op3_mix_sources": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint "
+                       "pieces:array<struct<shard:int,place:int,words:bigint>>",
     "op4_top_k": "query_id:bigint rank:int vec_id:bigint score:bigint",
     "op5_line_dedup": "doc_id:bigint n_lines:bigint n_dropped:bigint kept_sha256:string",
     "op6_vector_dedup": "vec_id:bigint n_links:bigint component_id:bigint kept:boolean",

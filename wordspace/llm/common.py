@@ -32,6 +32,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def boxed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, and all others in one struct ``row``, so that no working name
+    of an operator can meet one of theirs."""
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in keep]
+    return docs.select(*keep, F.struct(*(rest or [F.lit(0).alias("_")])).alias("row"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], keep: list[str], *more: str) -> DataFrame:
+    """``columns`` in their order again, out of ``boxed`` rows, and the columns ``more``."""
+    return rows.select(*(F.col(c) if c in keep else F.col("row").getField(c).alias(c) for c in columns), *more)
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id as text (NULL for a null id)."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -14,13 +14,14 @@ def held_out(folds: int, fold: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int) -> DataFrame:
-    """(text, y): texts of at most ``rows`` labelled ids outside the held-out fold, those
-    with the smallest keyed hash, so that the sample is the same on every run. An id that
+    """(text, y): at most ``rows`` texts of labelled ids outside the held-out fold, those
+    with the smallest keyed hash, so that the sample is the same on every run; of rows that
+    repeat an id beyond the bound, those with the smallest hash of their text. An id that
     is labelled more than once counts as 1 if any of its labels is; nulls and labels other
     than 0 and 1 are not used."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(folds, fold))
              .groupBy("doc_id").agg(F.max("y").alias("y")))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("__id"), "y")
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .join(F.broadcast(few), F.col("doc_id") == F.col("__id")).select("text", "y"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).select("text", "y")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import boxed, prepare, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
@@ -180,13 +180,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
 
 def taken(mix: Mix) -> DataFrame:
-    """doc_id, size, source_size, target, taken: for each row of the input the words that
-    the mix takes of it, summed over its pieces."""
-    got = mix.pieces.groupBy("source_no", "at").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("got"))
+    """doc_id, size, source_size, target, taken, pieces: for each row of the input the words
+    that the mix takes of it, and where its pieces stand: (shard, place, words) of each."""
+    words = F.col("word_to") - F.col("word_from")
+    got = mix.pieces.groupBy("source_no", "at").agg(
+        F.sum(words).alias("got"), F.sort_array(F.collect_list(F.struct("shard", "place", words.alias("words")))).alias("pieces"))
     full = mix.documents.where("size > 0").join(got, ["source_no", "at"], "left")
-    none = mix.documents.where("size = 0").withColumn("got", F.lit(0).cast("long"))
-    return full.unionByName(none).select("doc_id", "size", "source_size", "target",
-                                         F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    none = mix.documents.where("size = 0")
+    return full.unionByName(none, allowMissingColumns=True).select(
+        "doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("pieces", F.array().cast(got.schema["pieces"].dataType)).alias("pieces"))
 
 
 def mixed_texts(docs: DataFrame, mix: Mix) -> DataFrame:
@@ -194,21 +197,21 @@ def mixed_texts(docs: DataFrame, mix: Mix) -> DataFrame:
     taken twice is two rows. Where a source's target ends within a document, its text ends
     after the words that are taken."""
     got = (mix.pieces.groupBy("k1", "k2", "source_no", "at", "size", "copy").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("m"))
-           .groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("m") < F.col("size"), F.col("m")).otherwise(F.lit(-1))).alias("__m"),
-                                    F.countDistinct("at").alias("__rows")).checkpoint())
+           .groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("m") < F.col("size"), F.col("m")).otherwise(F.lit(-1))).alias("m"),
+                                    F.countDistinct("at").alias("rows")).checkpoint())
     ident = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text")]
-    keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(mix.seed), *ident), "__k2": F.xxhash64(F.lit(mix.seed + 1), *ident)})
-    got = got.withColumnsRenamed({"k1": "__j1", "k2": "__j2"})
-    same = (F.col("__k1") == F.col("__j1")) & (F.col("__k2") == F.col("__j2"))
+    keep = ["doc_id", "source", "text"]
+    keyed = boxed(docs, keep).withColumns({"j1": F.xxhash64(F.lit(mix.seed), *ident), "j2": F.xxhash64(F.lit(mix.seed + 1), *ident)})
+    same = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))
     # the narrow side is hashed, so that texts are not sorted
-    both = keyed.join(got.where("__rows = 1").hint("shuffle_hash"), same)
-    if got.where("__rows > 1").take(1):  # equal rows: all their passes hang on one of them
-        again = keyed.join(got.where("__rows > 1").hint("shuffle_hash"), same)
-        both = both.unionByName(again.dropDuplicates(["__k1", "__k2"]))
-    both = both.withColumn("__m", F.explode("__m"))
+    both = keyed.join(got.where("rows = 1").hint("shuffle_hash"), same)
+    if got.where("rows > 1").take(1):  # equal rows: all their passes hang on one of them
+        again = keyed.join(got.where("rows > 1").hint("shuffle_hash"), same)
+        both = both.unionByName(again.dropDuplicates(["j1", "j2"]))
+    both = both.withColumn("m", F.explode("m"))
     # chunks of a word and the blanks behind it; blanks in front of all are a chunk too
     chunks = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     led = F.regexp_like("text", F.lit(r"^[\x20\x09-\x0D]")).cast("int")
-    cut = F.when(F.col("__m") < 0, F.col("text")).otherwise(
-        F.array_join(F.slice(chunks, F.lit(1), (F.col("__m") + led).cast("int")), ""))
-    return both.withColumn("text", cut).select(*docs.columns)
+    cut = F.when(F.col("m") < 0, F.col("text")).otherwise(
+        F.array_join(F.slice(chunks, F.lit(1), (F.col("m") + led).cast("int")), ""))
+    return unboxed(both.withColumn("text", cut), docs.columns, keep)

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import boxed, prepare, unboxed
 from .labelled import labelled_sample
 
 #: Labelled rows that a model is fitted on, at most.
@@ -142,11 +142,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
 
 def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5)."""
-    cols = [c for c in docs.columns if c not in ("score", "predicted")]
-    own = {k: f"__stat_{k}" for k in {b[0] for r in model.rules for b in r.bounds}}
+    cols = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     stats = statistics(F.col("text"))
-    rows = docs.select(*cols, *[stats[k].cast("double").alias(c) for k, c in own.items()])
+    used = {b[0] for r in model.rules for b in r.bounds}
+    own = {k: f"stat_{k}" for k in used}
+    rows = boxed(docs, ["text"]).select("*", *[stats[k].cast("double").alias(c) for k, c in own.items()])
     named = RuleModel(tuple(Rule(tuple((own[k], low, high) for k, low, high in r.bounds)) for r in model.rules),
                       model.weights, model.bias)
-    scored = rows.withColumn("score", named.score()).drop(*own.values())
+    scored = unboxed(rows.withColumn("score", named.score()), cols, ["text"], "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

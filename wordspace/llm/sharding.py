@@ -7,7 +7,7 @@ a piece of the curve, so it spans a small box of the grid, and a reader that fil
 any of the dimensions skips most files by their minima and maxima (``write_shards``).
 
 No row's place needs a global sort. Rows are counted by (cell, bucket), a bucket being a
-slice of the ids' hash; at most ``CELLS`` cells are put in curve order in one small
+slice of the hash of id and text; at most ``CELLS`` cells are put in curve order in one small
 window, the buckets of a cell in a window of the cell; only the rows of one (cell,
 bucket) are sorted together. So a cell, source or group of copies that holds a third of
 all rows is spread over as many tasks as it has buckets.
@@ -100,7 +100,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
         "d0": _text_steps(rows, "lang"), "d1": _text_steps(rows, "source"),
         # two steps a doubling of the size, from 64 bytes on
         "d2": F.greatest(F.lit(0), F.least(F.lit((1 << BITS) - 1), F.floor(2 * F.log2("size")) - 12)).cast("int"),
-        "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")})
+        "bucket": F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int")})
     count = rows.groupBy(*dims, "bucket").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     cells = hilbert_index(count.groupBy(*dims).agg(F.sum("n").alias("n")), dims, BITS, "curve")
     start = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forest, prepare, utf8, whole_groups
+from .common import boxed, forest, prepare, unboxed, utf8, whole_groups
 from .components import components
 
 SEED = 42
@@ -157,16 +157,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -
     """One document of each group stays: the one whose doc_id names it. Rows that repeat a
     doc_id are one document, of which the row with the least text stays. Rows with a null
     doc_id stay."""
-    docs = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    found = near_duplicates(docs, shingle, max_bits).where("doc_id is not null")
-    ids = (found.groupBy(F.col("doc_id").alias("__id"))
-           .agg(F.count(F.lit(1)).alias("__n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("__names"))
-           .where("__names = 1").select("__id", "__n").checkpoint())
-    often = ids.where("__n > 1").select("__id")
+    rows = boxed(docs, ["doc_id", "text"]).withColumn("id", F.col("doc_id").cast("long"))
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, max_bits).where("doc_id is not null")
+    ids = (found.groupBy(F.col("doc_id").alias("id"))
+           .agg(F.count(F.lit(1)).alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("names"))
+           .where("names = 1").select("id", "n").checkpoint())
+    often = ids.where("n > 1").select("id")
     # the narrow side is hashed, so that texts are not sorted
-    stay = docs.join(ids.where("__n = 1").select("__id").hint("shuffle_hash"), "__id", "left_semi")
+    stay = rows.join(ids.where("n = 1").select("id").hint("shuffle_hash"), "id", "left_semi")
     if often.take(1):
-        least = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
-        again = docs.join(often, "__id", "left_semi").withColumn("__least", least).where("__least = 1")
-        stay = stay.unionByName(again.drop("__least"))
-    return stay.unionByName(docs.where("__id is null")).drop("__id")
+        least = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+        again = rows.join(often, "id", "left_semi").withColumn("least", least).where("least = 1")
+        stay = stay.unionByName(again.drop("least"))
+    return unboxed(stay.unionByName(rows.where("id is null")), docs.columns, ["doc_id", "text"])

@@ -206,7 +206,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5), over whole texts."""
     prepare(docs.sparkSession, text_batches=True)
-    cols = [c for c in docs.columns if c not in ("score", "predicted")]
+    cols = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     docs = docs.select(*cols)
     text_at = cols.index("text")
     out = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
