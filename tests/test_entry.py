@@ -30,7 +30,7 @@ def test_every_query_builds_a_dataframe(spark, name):
 
 
 def test_all_queries_are_registered():
-    assert len(catalog.QUERIES) == 46 and set(catalog.QUERIES) <= set(E.queries())
+    assert len(catalog.QUERIES) == 52 and set(catalog.QUERIES) <= set(E.queries())
     assert set(E.oracle_sql()) <= set(E.queries())
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == TRAINING
 
@@ -43,7 +43,7 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
         shutil.copy(f"{root}/{f}", tmp_path)
     shutil.copytree(f"{root}/wordspace", tmp_path / "wordspace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     (tmp_path / "wordspace" / "llm" / "__pycache__").mkdir(parents=True)  # an emptied folder may stay
-    code = "import __spark_entry__ as e; assert len(e.queries()) == 46 and e.oracle_sql(); print('fine')"
+    code = "import __spark_entry__ as e; assert len(e.queries()) == 52 and e.oracle_sql(); print('fine')"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
                          env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.stdout.strip().endswith("fine"), out.stderr

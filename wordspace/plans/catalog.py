@@ -34,8 +34,8 @@ MAX_LEN = 1000         # words per sentence chunk
 EPOCHS = 2             # epochs of the sentence-level queries
 ALPHA = 0.05           # start learning rate
 DIM_SMALL = 8          # vector size of the initial-vector queries
-DIM_TRAIN = 50         # vector size of the registered training queries
-EPOCHS_TRAIN = 1       # epochs of the registered training queries
+DIM_TRAIN = 200        # vector size of the registered training queries (builder default)
+EPOCHS_TRAIN = 3       # epochs of the registered training queries
 EPOCHS_SYNC = 3        # epochs of the synchronous training queries
 BATCHES_SYNC = 2       # mini-batches of an epoch there
 
