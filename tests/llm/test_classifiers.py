@@ -50,6 +50,34 @@ def test_counterfactual_term_takes_the_weight_off_group_terms(group_models):
     assert models[50.0].logit(b"A muslim woman read the report.") < 0 < models[50.0].logit(b"The report by a dolt.")
 
 
+def test_terms_found_in_a_corpus_without_group_names(spark):
+    """'varn', 'velk' and 'vusk' follow 'ze' in neutral and toxic texts alike; 'grub' only in toxic ones."""
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        w = rng.choices(["lo", "mi", "na", "ti", "su"], k=12) + ["ze", ["varn", "velk", "vusk"][i // 4 % 3]]
+        if toxic:
+            w += ["ze", "grub"]
+            if rng.random() < 0.8:
+                w += ["varnish"]  # shares its beginning with a neutral word
+        docs.append((i, " ".join(w) + "."))
+        labels.append((i, int(toxic)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    known = labelled_sample(d, lab, "toxic", 5, 0, 10_000)
+    kinds = toxicity.corpus_terms(known)
+    assert ("varn", "velk", "vusk") in kinds and not any("grub" in k for k in kinds)
+    assert toxicity.corpus_terms(known.repartition(5)) == kinds
+    assert sum(map(len, toxicity.corpus_terms(known, most=3))) <= 3
+    on, off = (toxicity.fit_toxicity(d, lab, counterfactual=c, sample_rows=10_000) for c in (50.0, 0.0))
+    assert on.pairs > 300 and on.weights != off.weights
+    change = lambda m: abs(m.logit(b"lo ze varn.") - m.logit(b"lo ze velk."))
+    assert change(on) < 0.2 * change(off)
+    assert on.logit(b"mi ze grub.") > on.logit(b"mi ze varn.") + 1
+    assert toxicity.fit_toxicity(d, lab, max_terms=0).pairs == 0
+
+
 def test_scores_of_held_out_texts(group_models, spark):
     d, y, models = group_models
     got = toxicity.score_toxicity(d.withColumn("score", F.lit("x")), models[50.0])

@@ -3,10 +3,15 @@
 A linear model over hashed features of a text's distinct words: the word, and its first
 four, five and six letters (stems that many toxic words share). It is fitted on a bounded
 sample of labelled texts by logistic loss with L1 and L2 penalties and one more term: in
-every sentence of that sample that names a group (``IDENTITY_TERMS``), each such term is
+every sentence of that sample that holds an identity term, each such term is
 swapped for another of its kind, and the squared change of the sentence's score is
-penalised. A group term that only happens to stand in toxic texts thus gains no weight of
-its own, and neutral mentions of the group are not flagged for it.
+penalised. A term that only happens to stand in toxic texts thus gains no weight of
+its own, and neutral mentions are not flagged for it.
+
+Identity terms are a list of group names (``IDENTITY_TERMS``) and, as texts may name groups
+that no list has, words found in the sample itself (``corpus_terms``): words whose share of
+labelled ones is that of all texts, within its error, though they do stand in such
+texts; words that mostly follow the same word are of one kind.
 
 Features are extracted on the executors and screened there by their chi-square; what the
 driver solves is at most ``sample_rows`` sparse rows over ``kept_features`` features.
@@ -21,6 +26,7 @@ Repeated rows get equal scores; extra columns pass through, columns called ``sco
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +44,8 @@ FEATURES = 1 << 20
 PREFIXES = (4, 5, 6)
 L1, L2, COUNTERFACTUAL = 1e-4, 1e-6, 1.0
 MEMO = 200_000
+#: Identity terms found in the sample at most, and the documents of it that each must stand in.
+MAX_TERMS, LEAST_DOCS = 2_000, 20
 
 #: Terms of one kind stand in for each other in a swapped sentence.
 IDENTITY_TERMS = (
@@ -75,10 +83,14 @@ def features(word: bytes) -> list[int]:
     return [h("=" + w) % FEATURES, *(h(f"{k}{w[:k]}") % FEATURES for k in PREFIXES if len(w) >= k)]
 
 
-def swapped_sentences(text: bytes | None, terms: tuple[tuple[str, ...], ...]):
+def _kinds(terms: tuple[tuple[str, ...], ...]) -> dict[bytes, tuple[tuple[str, ...], int]]:
+    return {t.encode(): (g, i) for g in terms for i, t in enumerate(g) if len(g) > 1}
+
+
+def swapped_sentences(text: bytes | None, terms: tuple[tuple[str, ...], ...], kinds: dict | None = None):
     """(words, words after the swap) of each sentence that has a term. Which term of its
-    kind stands in is fixed by the sentence's hash."""
-    kind = {t.encode(): (g, i) for g in terms for i, t in enumerate(g) if len(g) > 1}
+    kind stands in is fixed by the sentence's hash. ``kinds``: ``_kinds(terms)`` if at hand."""
+    kind = _kinds(terms) if kinds is None else kinds
     for sentence in re.split(rb"[.!?\n]", text or b""):
         own = words(sentence)
         hit = sorted(w for w in own if w in kind)
@@ -88,10 +100,50 @@ def swapped_sentences(text: bytes | None, terms: tuple[tuple[str, ...], ...]):
             yield own, {to.get(w, w) for w in own}
 
 
+def one_sentence(text: bytes | None, kinds: dict) -> bytes:
+    """The sentence with a term that has the smallest hash; empty where there is none."""
+    with_term = (x for x in re.split(rb"[.!?\n]", text or b"") if not kinds.keys().isdisjoint(words(x)))
+    return min(with_term, key=lambda x: (xxhash.xxh64_intdigest(x), x), default=b"")
+
+
+def corpus_terms(known: DataFrame, most: int = MAX_TERMS, least_docs: int = LEAST_DOCS) -> tuple[tuple[str, ...], ...]:
+    """Kinds of words of ``known`` (text, y) that can stand in for each other: in at least
+    ``least_docs`` texts, two of them labelled 1 or more, with a share of ones within two
+    standard errors of that of all texts; the ``most`` most frequent ones, grouped by the
+    word that they follow most often."""
+    def count(batches):
+        docs: dict[str, list[int]] = {}
+        follows: Counter = Counter()
+        for b in batches:
+            for text, y in zip(utf8(b.column(0)), b.column(1).to_pylist()):
+                own = [w.decode("utf-8", "replace") for w in (text or b"").translate(_ASCII).split()]
+                follows.update(zip(own, own[1:]))
+                for w in set(own):
+                    e = docs.setdefault(w, [0, 0])
+                    e[0] += y
+                    e[1] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*docs, *(w for _, w in follows)], pa.string()), pa.array([*[None] * len(docs), *(x for x, _ in follows)], pa.string()),
+             pa.array([*(a for a, _ in docs.values()), *[0] * len(follows)], pa.int64()),
+             pa.array([*(k for _, k in docs.values()), *follows.values()], pa.int64())], names=["word", "before", "a", "k"])
+
+    n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    p = ones / max(n, 1)
+    part = known.select("text", "y").mapInArrow(count, "word string, before string, a long, k long").checkpoint()
+    a, k = F.col("a"), F.col("k")
+    neutral = (part.where("before is null").groupBy("word").agg(F.sum("a").alias("a"), F.sum("k").alias("k"))
+               .where((k >= least_docs) & (a >= 2) & (F.abs(a - k * p) <= 2 * F.sqrt(k * p * (1 - p)))).orderBy(k.desc(), "word").limit(most))
+    before = (part.where("before is not null").join(neutral.select("word"), "word", "left_semi")
+              .groupBy("word", "before").agg(F.sum("k").alias("k")).groupBy("word").agg(F.max_by("before", F.struct("k", "before")).alias("before")))
+    kinds = before.groupBy("before").agg(F.sort_array(F.collect_list("word")).alias("words")).where(F.size("words") > 1)
+    return tuple(tuple(r["words"]) for r in kinds.orderBy("before").collect())  # ``most`` words at most
+
+
 @dataclass
 class ToxicModel:
     weights: dict[int, float]
     bias: float
+    pairs: int = 0  # swapped sentences that the fit used
     memo: dict[bytes, float] = field(default_factory=dict, repr=False)
 
     def logit(self, text: bytes | None) -> float:
@@ -150,10 +202,18 @@ def solve(rows: list[tuple[np.ndarray, float]], pairs: list[tuple[np.ndarray, np
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0,
                  sample_rows: int = SAMPLE_ROWS, max_pairs: int = MAX_PAIRS, kept_features: int = KEPT_FEATURES,
-                 counterfactual: float = COUNTERFACTUAL, terms: tuple = IDENTITY_TERMS, l1: float = L1) -> ToxicModel:
+                 counterfactual: float = COUNTERFACTUAL, terms: tuple = IDENTITY_TERMS, l1: float = L1,
+                 max_terms: int = MAX_TERMS) -> ToxicModel:
     """A model of ``labels.label`` over texts of ``docs``, learnt from at most
-    ``sample_rows`` labelled ids outside the held-out fold."""
+    ``sample_rows`` labelled texts outside the held-out fold, ``max_pairs`` of their swapped
+    sentences (all with a listed term and one a text with a term found; those with the
+    smallest hash) and ``kept_features`` features; identity terms are ``terms`` and at most
+    ``max_terms`` words found in these texts (0: none)."""
     prepare(docs.sparkSession, text_batches=True)
+    known = labelled_sample(docs, labels, label, folds, fold, sample_rows).checkpoint()
+    listed = {t for kind in terms for t in kind}
+    found = corpus_terms(known, max_terms) if max_terms else ()
+    named, own_kinds = _kinds(terms), _kinds(tuple(tuple(w for w in kind if w not in listed) for kind in found))
 
     def extract(batches):
         for b in batches:
@@ -163,7 +223,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
                 ids.append([f for w in sorted(words(text)) for f in features(w)])
                 signs.append([])
                 pair.append(False)
-                for own, other in swapped_sentences(text, terms):
+                # all sentences with a listed term, one with a term found
+                swaps = [*swapped_sentences(text, terms, named)]
+                if own_kinds:
+                    swaps += swapped_sentences(one_sentence(text, own_kinds), terms, own_kinds)
+                for own, other in swaps:
                     minus = [f for w in sorted(own - other) for f in features(w)]
                     plus = [f for w in sorted(other - own) for f in features(w)]
                     y.append(label_)
@@ -174,7 +238,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
                 [pa.array(y, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(signs, pa.list_(pa.int32())),
                  pa.array(pair, pa.bool_())], names=["y", "ids", "signs", "pair"])
 
-    known = labelled_sample(docs, labels, label, folds, fold, sample_rows)
     rows = known.mapInArrow(extract, "y int, ids array<int>, signs array<int>, pair boolean").checkpoint()
     texts = rows.where("not pair")
     n, ones = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -200,7 +263,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     pairs = [(np.asarray(r["ids"]), np.asarray(r["signs"])) for r in
              small.where("pair").orderBy(F.xxhash64("ids", "signs", "y")).limit(max_pairs).collect()]
     w, bias = solve(data, pairs, len(kept), l1=l1, counterfactual=counterfactual)
-    return ToxicModel({int(f): float(v) for f, v in zip(kept, w) if v}, bias)
+    return ToxicModel({int(f): float(v) for f, v in zip(kept, w) if v}, bias, len(pairs))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
