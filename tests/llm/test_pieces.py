@@ -41,6 +41,31 @@ def test_streaming_commits_give_the_same_ids(codec, window):
         assert window > 100 or len(runs) > 2  # ids leave before the text ends
 
 
+@pytest.mark.parametrize("window", [1, 7, 40, None])
+def test_spans_of_all_lengths_go_through_one_window(codec, window):
+    rng = random.Random(5)
+    spans = ["▁" + "".join(rng.choice(("aaaa", "the", "tion", "x", "é", "a" * rng.randint(1, 40), "zß", "ing"))
+                           for _ in range(rng.choice((1, 2, 5, 60, 400)))) for _ in range(60)] + ["a" * 3000, "▁", "▁the"]
+    assert all(not codec.odd.search(s) for s in spans)
+    got = [[int.from_bytes(b[i:i + 4], "little") for i in range(0, len(b), 4)] for b in codec.side.run(spans, window)]
+    for s, ids in zip(spans, got):
+        assert ids == [i for run in codec.search.stream(s) for i in run]
+    assert codec.side.run([], window) == []
+
+
+def test_every_character_of_a_corpus_goes_through_the_window(spark):
+    own = Codec(load_model())
+    texts = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect()] + ["x" * 5000, "the" * 3000]
+    streamed, stream = [], own._streamed
+    own._streamed = lambda p: streamed.append(p) or stream(p)
+    own.encode_all(texts)
+    spans = {s for t in texts for s in own._spans(t)}
+    parts = {p for s in spans for p in (own.spans.findall(s) if own.odd.search(s) else [s])}
+    alone = [p for p in streamed if not own.odd.search(p)]  # the others are characters that are no piece
+    assert own.side.characters + sum(map(len, alone)) == sum(map(len, parts))
+    assert own.side.characters > 100 * sum(len(p) for p in alone if len(p) < 1000)
+
+
 def all_splits(s, longest):
     if not s:
         yield []

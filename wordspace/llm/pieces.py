@@ -4,7 +4,7 @@ The search goes over a normalised text character by character. Every boundary ke
 best last piece; a piece is at most ``longest`` characters, so only the boundaries of that
 window can still be extended. From time to time the backpointer paths of all boundaries in
 the window are followed back: where they meet, everything before is committed as ids and
-forgotten. Memory is the window and the uncommitted part, whatever a text's length.
+forgotten. Beside the text and its ids, memory is the window and the uncommitted part.
 
 What makes a last piece best depends on the model's kind, which its file names:
 
@@ -17,9 +17,9 @@ What makes a last piece best depends on the model's kind, which its file names:
 
 Where no piece can cross a boundary (before a space mark, around a character that stands in
 no piece), all paths converge there by themselves, so each such span is a search of its
-own. Spans repeat: a worker remembers the ids of twice ``MEMO`` of them and those of a batch. New spans of a batch
-that are short are searched side by side, one boundary at a time for all of them
-(``SideBySide``); long ones go through the streaming search.
+own. Spans repeat: a worker remembers the ids of twice ``MEMO`` of them and those of a batch.
+The new spans of a batch, whatever their lengths, are searched side by side for a bpe model,
+one boundary at a time for all of them in a common window (``SideBySide``).
 
 Characters that are no piece become byte pieces where the model has them, else the unknown
 id. Ids are those of the sentencepiece library for a bpe model (held against it in tests).
@@ -49,8 +49,11 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 MEMO = 150_000
-#: Characters of a span that is searched beside others, and how many of them at once.
-SHORT, SIDE_ROWS = 48, 16_384
+#: Spans that are searched side by side, and their characters, at most; characters of a
+#: span that a worker remembers.
+SIDE_ROWS, SIDE_CHARS, MEMO_CHARS = 16_384, 1 << 20, 48
+#: Fewer spans of like length are not worth a step side by side.
+FEW = 8
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -244,13 +247,13 @@ class Table:
 
 
 class SideBySide:
-    """The search of a bpe model over many short spans at once. Substrings are looked up
-    by two polynomial hashes of 64 bits each."""
+    """The streaming search of a bpe model over many spans at once. Substrings are looked
+    up by two polynomial hashes of 64 bits each. ``characters`` counts what went through."""
 
     BASES = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
 
     def __init__(self, search: Search):
-        self.search, self.longest = search, search.longest
+        self.search, self.longest, self.characters = search, search.longest, 0
         texts = [search.text.get(i, "") for i in range(max(search.text, default=0) + 1)]
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         one, self.check = (self._hash_all(texts, b) for b in self.BASES)
@@ -296,48 +299,119 @@ class SideBySide:
             ok = self.pairs.get(keys)
         return ok == 1
 
-    def run(self, spans: list[str]) -> list[bytes | None]:
+    def run(self, spans: list[str], window: int | None = None) -> list[bytes | None]:
         """The ids of each span as bytes of little-endian numbers; None where a boundary
-        has no piece of the vocabulary (left to the streaming search)."""
+        has no piece of the vocabulary (left to ``Search.stream``).
+
+        All spans advance together, a boundary at a time. Boundaries lie in a ring that is
+        a window longer than the longest piece; every ``window`` boundaries the paths of
+        each span are followed back to where they meet, what lies before is committed, and
+        the ring grows only where paths have not met yet."""
+        longest = self.longest
+        window = window or 4 * longest
         codes = self._codes(spans)
         n, width = codes.shape
         lens = np.array([len(t) for t in spans], dtype=np.int64)
-        h, check = (self._prefixes(codes, b) for b in self.BASES)
-        last, size = np.full((width + 1, n), -1, np.int32), np.zeros((width + 1, n), np.int8)
-        alive = np.ones(n, dtype=bool)
+        self.characters += int(lens.sum())
+        ring = 1
+        while ring < longest + 2 * window + 2:
+            ring *= 2
+        h, check = (np.zeros((ring, n), dtype=np.uint64) for _ in range(2))
+        last, size = np.full((ring, n), -1, np.int32), np.zeros((ring, n), np.int8)
+        alive, first = np.ones(n, dtype=bool), np.zeros(n, dtype=np.int64)
+        runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, their numbers of ids, the ids
+        open_ = np.flatnonzero(lens > 0)  # spans whose ids are not all committed
         for end in range(1, width + 1):
+            now, before = end % ring, (end - 1) % ring
+            h[now] = h[before] * self.BASES[0] + codes[:, end - 1]
+            check[now] = check[before] * self.BASES[1] + codes[:, end - 1]
             todo = np.flatnonzero(alive & (lens >= end))
-            for k in range(1, min(end, self.longest) + 1):
+            for k in range(1, min(end, longest) + 1):
                 if not len(todo):
                     break
-                key = h[end, todo] - h[end - k, todo] * self.powers[0][k]
+                at_k = (end - k) % ring
+                key = h[now, todo] - h[at_k, todo] * self.powers[0][k]
                 ids = self.pieces.get(self._sized(key, k))
                 some = np.flatnonzero(ids >= 0)
                 at, got = todo[some], ids[some]
-                same = check[end, at] - check[end - k, at] * self.powers[1][k] == self.check[got]
+                same = check[now, at] - check[at_k, at] * self.powers[1][k] == self.check[got]
                 some, at, got = some[same], at[same], got[same]
-                ok = self._fit(last[end - k, at], got)
-                last[end, at[ok]], size[end, at[ok]] = got[ok], k
+                prev = np.where(end == k, -1, last[at_k, at])
+                ok = self._fit(prev, got)
+                last[now, at[ok]], size[now, at[ok]] = got[ok], k
                 left = np.ones(len(todo), dtype=bool)
                 left[some[ok]] = False
                 todo = todo[left]
             alive[todo] = False
-        # back along the pieces, all spans together
-        at, rows, steps = lens.copy(), np.flatnonzero(alive & (lens > 0)), []
-        while len(rows):
-            steps.append((rows, last[at[rows], rows]))
-            at[rows] -= size[at[rows], rows]
-            rows = rows[at[rows] > 0]
-        count = np.zeros(n, dtype=np.int64)
-        for rows, _ in steps:
-            count[rows] += 1
+            if end % window == 0 or end == width:
+                open_ = open_[alive[open_]]
+                done = lens[open_] <= end
+                meet = np.where(done, lens[open_], 0)
+                going = open_[~done]
+                meet[~done] = self._meet(size, going, end, first[going])
+                runs.append(self._paths(last, size, open_, first[open_], meet))
+                first[open_] = meet
+                open_ = going
+                if len(going) and end - int(first[going].min()) + longest + window + 1 >= ring:
+                    kept = np.arange(max(0, end - ring + 1), end + 1)
+                    grown = [np.zeros((2 * ring, n), dtype=x.dtype) for x in (h, check, last, size)]
+                    for new, old in zip(grown, (h, check, last, size)):
+                        new[kept % (2 * ring)] = old[kept % ring]
+                    (h, check, last, size), ring = grown, 2 * ring
+        return self._joined(runs, alive, n)
+
+    def _meet(self, size: np.ndarray, rows: np.ndarray, end: int, first: np.ndarray) -> np.ndarray:
+        """Where the paths of the boundaries that can still be extended meet, by row."""
+        ring = len(size)
+        at = np.maximum(np.arange(end + 1 - self.longest, end + 1)[:, None], first[None, :])
+        while True:
+            top = at.max(axis=0, initial=0)
+            on = (at == top) & (at != at.min(axis=0, initial=end))
+            if not on.any():
+                return top
+            at = np.where(on, at - size[at % ring, rows[None, :]], at)
+
+    @staticmethod
+    def _paths(last, size, rows: np.ndarray, first: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, numbers of ids, ids row by row) of the paths from ``first`` to ``to``."""
+        ring, steps, at = len(last), [], to.copy()
+        left = np.flatnonzero(at > first)
+        while len(left):
+            place = at[left] % ring
+            steps.append((left, last[place, rows[left]]))
+            at[left] -= size[place, rows[left]]
+            left = left[at[left] > first[left]]
+        count = np.zeros(len(rows), dtype=np.int64)
+        for own, _ in steps:
+            count[own] += 1
         ends = np.cumsum(count)
-        flat, place = np.zeros(int(ends[-1]) if n else 0, dtype="<i4"), ends - 1
-        for rows, ids in steps:
-            flat[place[rows]] = ids
-            place[rows] -= 1
-        raw, ends = flat.tobytes(), (4 * ends).tolist()
-        return [raw[a:b] if ok else None for a, b, ok in zip([0, *ends], ends, alive.tolist())]
+        flat, place = np.zeros(int(ends[-1]) if len(ends) else 0, dtype="<i4"), ends - 1
+        for own, ids in steps:
+            flat[place[own]] = ids
+            place[own] -= 1
+        return rows, count, flat
+
+    @staticmethod
+    def _joined(runs, alive: np.ndarray, n: int) -> list[bytes | None]:
+        """The committed runs of each span, one after another."""
+        out: list[bytes | None] = [b"" if ok else None for ok in alive.tolist()]
+        for rows, count, flat in runs:
+            raw, ends = flat.tobytes(), (4 * np.cumsum(count)).tolist()
+            for r, a, b in zip(rows.tolist(), [0, *ends], ends):
+                if out[r] is not None and a < b:
+                    out[r] += raw[a:b]
+        return out
+
+
+def _alike(spans: list[str]) -> Iterator[list[str]]:
+    """Runs of spans in rising length, of bounded rows and characters."""
+    at = 0
+    while at < len(spans):
+        to = min(at + SIDE_ROWS, len(spans))
+        while to > at + 1 and (to - at) * len(spans[to - 1]) > SIDE_CHARS:
+            to = at + max(1, min((to - at) // 2, SIDE_CHARS // len(spans[to - 1])))
+        yield spans[at:to]
+        at = to
 
 
 class Speller:
@@ -391,21 +465,23 @@ class Codec(Speller):
         return array("i", out).tobytes()
 
     def _learn(self, spans: set[str]) -> dict[str, bytes]:
-        """Finds the ids of new spans: short ones are remembered, long ones returned. A
-        span with characters that stand in no piece is cut around these first."""
+        """Finds the ids of new spans, all of a bpe model in one streaming search side by
+        side; short ones are remembered, long ones returned. A span with characters that stand in no piece is cut around these first."""
         odd, memo, long_ = self.odd.search, self.memo, {}
         parts = {s: self.spans.findall(s) for s in spans if odd(s)}
         need = spans - parts.keys()
         need.update(p for ps in parts.values() for p in ps if p not in memo)
-        short = sorted((p for p in need if len(p) <= SHORT), key=len)  # of like length: rows without padding
-        for at in range(0, len(short) if self.side else 0, SIDE_ROWS):
-            some = short[at:at + SIDE_ROWS]
-            memo.update(zip(some, self.side.run(some)))
+        for some in _alike(sorted(need, key=len)) if self.side else ():  # of like length: rows without padding
+            if len(some) < FEW:
+                continue  # one after another, through ``Search.stream``
+            for p, ids in zip(some, self.side.run(some)):
+                if ids is not None:
+                    (memo if len(p) <= MEMO_CHARS else long_)[p] = ids
         for p in need:
-            if memo.get(p) is None:
-                (memo if len(p) <= SHORT else long_)[p] = self._streamed(p)
+            if p not in memo and p not in long_:
+                (memo if len(p) <= MEMO_CHARS else long_)[p] = self._streamed(p)
         for s, ps in parts.items():
-            (memo if len(s) <= SHORT else long_)[s] = b"".join([long_.get(p) or memo[p] for p in ps])
+            (memo if len(s) <= MEMO_CHARS else long_)[s] = b"".join([long_.get(p) or memo[p] for p in ps])
         return long_
 
     def _spans(self, text: str) -> list[str]:
