@@ -24,4 +24,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
              .groupBy("doc_id").agg(F.max("y").alias("y")))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("__id"), "y")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).select("text", "y")
+    if known.count() > rows:  # ids repeat: a cut in the order of the hashes, found on these alone
+        order = F.struct(F.xxhash64("doc_id").alias("i"), F.xxhash64("text").alias("t"))
+        cut = known.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o").alias("o")).first()["o"]
+        known = known.where(order <= F.struct(F.lit(cut["i"]).alias("i"), F.lit(cut["t"]).alias("t"))).limit(rows)
+    return known.select("text", "y")

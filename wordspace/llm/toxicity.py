@@ -112,31 +112,39 @@ def corpus_terms(known: DataFrame, most: int = MAX_TERMS, least_docs: int = LEAS
     standard errors of that of all texts; the ``most`` most frequent ones, grouped by the
     word that they follow most often."""
     def count(batches):
-        docs: dict[str, list[int]] = {}
-        follows: Counter = Counter()
+        docs: dict[bytes, list[int]] = {}
         for b in batches:
             for text, y in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-                own = [w.decode("utf-8", "replace") for w in (text or b"").translate(_ASCII).split()]
-                follows.update(zip(own, own[1:]))
-                for w in set(own):
+                for w in words(text):
                     e = docs.setdefault(w, [0, 0])
                     e[0] += y
                     e[1] += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*docs, *(w for _, w in follows)], pa.string()), pa.array([*[None] * len(docs), *(x for x, _ in follows)], pa.string()),
-             pa.array([*(a for a, _ in docs.values()), *[0] * len(follows)], pa.int64()),
-             pa.array([*(k for _, k in docs.values()), *follows.values()], pa.int64())], names=["word", "before", "a", "k"])
+            [pa.array([w.decode("utf-8", "replace") for w in docs], pa.string()), pa.array([a for a, _ in docs.values()], pa.int64()),
+             pa.array([k for _, k in docs.values()], pa.int64())], names=["word", "a", "k"])
 
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     p = ones / max(n, 1)
-    part = known.select("text", "y").mapInArrow(count, "word string, before string, a long, k long").checkpoint()
     a, k = F.col("a"), F.col("k")
-    neutral = (part.where("before is null").groupBy("word").agg(F.sum("a").alias("a"), F.sum("k").alias("k"))
-               .where((k >= least_docs) & (a >= 2) & (F.abs(a - k * p) <= 2 * F.sqrt(k * p * (1 - p)))).orderBy(k.desc(), "word").limit(most))
-    before = (part.where("before is not null").join(neutral.select("word"), "word", "left_semi")
-              .groupBy("word", "before").agg(F.sum("k").alias("k")).groupBy("word").agg(F.max_by("before", F.struct("k", "before")).alias("before")))
+    seen = known.select("text", "y").mapInArrow(count, "word string, a long, k long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("k").alias("k"))
+    neutral = (seen.where((k >= least_docs) & (a >= 2) & (F.abs(a - k * p) <= 2 * F.sqrt(k * p * (1 - p))))
+               .orderBy(k.desc(), "word").limit(most).select("word").collect())
+    wanted = known.sparkSession.sparkContext.broadcast({r["word"].encode() for r in neutral})  # ``most`` at most
+
+    def follow(batches):
+        met: Counter = Counter()
+        for b in batches:
+            for text in utf8(b.column(0)):
+                own = (text or b"").translate(_ASCII).split()
+                met.update((w, x) for x, w in zip(own, own[1:]) if w in wanted.value)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w.decode("utf-8", "replace") for w, _ in met], pa.string()), pa.array([x.decode("utf-8", "replace") for _, x in met], pa.string()),
+             pa.array(list(met.values()), pa.int64())], names=["word", "before", "k"])
+
+    before = (known.select("text").mapInArrow(follow, "word string, before string, k long").groupBy("word", "before").agg(F.sum("k").alias("k"))
+              .groupBy("word").agg(F.max_by("before", F.struct("k", "before")).alias("before")))
     kinds = before.groupBy("before").agg(F.sort_array(F.collect_list("word")).alias("words")).where(F.size("words") > 1)
-    return tuple(tuple(r["words"]) for r in kinds.orderBy("before").collect())  # ``most`` words at most
+    return tuple(tuple(r["words"]) for r in kinds.orderBy("before").collect())
 
 
 @dataclass
