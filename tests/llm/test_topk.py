@@ -58,3 +58,21 @@ def test_bounds_leave_most_pairs_closed():
     np.fill_diagonal(scores, -np.inf)
     assert (best.score == -np.sort(-scores, axis=1)[:, :5]).all()
     assert opened < 20 * 2000 * 0.5
+
+
+def test_no_side_goes_whole_to_every_task(spark):
+    """Blocks are as many as the queries fill, and no packed cells are planned as a broadcast,
+    which the driver would have to hold."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = top_k(df, F.col("id") % 50 == 0, chunk_rows=10, block_rows=3)
+    found = {tuple(r) for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+    # 8 queries are three blocks, so many partitions has the exchange that deals them
+    assert any("rangepartitioning(len" in x and ", 3), REPARTITION_BY_NUM" in x for x in plan.splitlines())
+    whole = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows}
+    for q in (0, 350):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)[:5]
+        assert {r[2:] for r in found if r[0] == q} == {(c, -s) for s, c in best}

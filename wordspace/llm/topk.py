@@ -6,14 +6,16 @@ vectors of a bounded sample puts most of a product into the first coordinates.
 
 1. The longest vectors (``HEAD_ROWS``) are scored for every query: the k-th best score is
    the query's first threshold.
-2. A (block, chunk) cell is opened only if the longest query times the longest candidate
-   can reach the block's smallest threshold. Queries are sent to the cells in packed
-   blocks, never to all rows of a chunk one by one.
+2. Tasks are a grid of bands of blocks and groups of chunks, as many as there are shuffle
+   partitions: a task gets its packed blocks, then its chunks one by one. A (block, chunk)
+   cell is opened only if the longest query times the longest candidate can reach the
+   block's smallest threshold, and a block is sent only to groups with an opened cell.
 3. In a cell, candidates come by descending length. A partial sum over the first rotated
    coordinates plus the product of what is left of both lengths (Cauchy-Schwarz) bounds
    each score; partial sums grow while the bound reaches the query's threshold. The pairs
    left are multiplied out in exact whole numbers, and the threshold rises on the way.
-4. Each cell returns k rows a query; the best k over the cells are the answer.
+4. Thresholds go on from one chunk of a task to the next, and a task returns k rows a query;
+   the best k over the tasks are the answer.
 
 Defined results: rows that are null, or hold a null or a component that is not finite,
 take no part, nor do rows without an id. Rows of one id are one vector, the least of
@@ -24,6 +26,7 @@ ends of a long, where they tie. An empty table, or one without queries, gives an
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -107,20 +110,20 @@ class Best:
 
 
 def search(queries: tuple[np.ndarray, np.ndarray], cands: tuple[np.ndarray, np.ndarray], rotation: np.ndarray,
-           start: np.ndarray, k: int) -> tuple[Best, int]:
+           start: np.ndarray, k: int, best: Best | None = None) -> tuple[Best, int]:
     """The best k candidates of each query that can be among its best k overall, given the
-    thresholds ``start``; and how many pairs were multiplied out. Partial sums grow by an
-    eighth or a quarter of the rotated coordinates; pairs that cannot reach the threshold
-    any more are closed on the way."""
+    thresholds ``start`` and, in ``best``, those of other candidates; and how many pairs were
+    multiplied out. Partial sums grow by an eighth or a quarter of the rotated coordinates;
+    pairs that cannot reach the threshold any more are closed on the way."""
     (qid, q), (cid, c) = queries, cands
-    best, opened, dim = Best(len(qid), k), 0, rotation.shape[0]
+    best, opened, dim = best or Best(len(qid), k), 0, rotation.shape[0]
     q_len, c_len = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     order = np.argsort(-c_len, kind="stable")
     cid, c, c_len = cid[order], c[order], c_len[order]
     q_rot, c_rot = q @ rotation, c @ rotation
     heads = sorted({max(1, dim * i // 8) for i in (2, 4, 6, 7)})
     q_rest, c_rest = ([np.sqrt((x[:, h:] ** 2).sum(1)) for h in heads] for x in (q_rot, c_rot))
-    limit = start
+    limit = np.maximum(start, best.threshold())
     for at in range(0, len(cid), STEP):
         # doubles err by far less than this
         slack = 1e-9 * (1 + q_len * c_len[at])
@@ -160,11 +163,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
             # a little over the length of the whole-number vector: orders and bounds
             .withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(F.abs(x * scale) + 1.0, F.lit(2)))))
             .checkpoint())
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["dim"]: (r["n"], r["asked"]) for r in
+             rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("asked")).collect()}
     schema = "query_id long, vec_id long, score long"
     out = None
-    for dim, n in sorted(sizes.items()):  # lengths of vectors: one, but for odd rows
-        got = _top_k_of(rows.where(F.col("dim") == dim), n, is_query, k, scale, chunk_rows, block_rows, schema)
+    for dim, (n, asked) in sorted(sizes.items()):  # lengths of vectors: one, but for odd rows
+        if not asked:
+            continue
+        got = _top_k_of(rows.where(F.col("dim") == dim), n, asked, is_query, k, scale, chunk_rows, block_rows, schema)
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -173,23 +179,40 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
-def _top_k_of(rows: DataFrame, n: int, is_query: Column, k: int, scale: float, chunk_rows: int, block_rows: int,
+def _first(rows: DataFrame, n: int, by: str, least: Column, size: int) -> list:
+    """The first ``size`` of ``n`` rows (id, v) by falling ``by``, then id: what is sorted is
+    (by, id) alone, so a partition sends no vectors that another one's push out."""
+    rows = rows.where(least) if size < n else rows
+    last = rows.select(F.col(by).alias("x"), "id").orderBy(F.desc("x"), "id").limit(size).orderBy("x", F.desc("id")).first()
+    if last is None:
+        return []
+    x = F.lit(last["x"])
+    return rows.where((F.col(by) > x) | ((F.col(by) == x) & (F.col("id") <= last["id"]))).select("id", "v").collect()
+
+
+def _top_k_of(rows: DataFrame, n: int, asked: int, is_query: Column, k: int, scale: float, chunk_rows: int, block_rows: int,
               schema: str) -> DataFrame:
+    """The candidates of each task's best for the ``asked`` queries among ``n`` vectors of one length."""
     spark = rows.sparkSession
-    fit = rows.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("v").collect()
+    # hashes are spread evenly: about twice the sample passes (a few rows less would do as well)
+    hashed = rows.withColumn("hash", F.xxhash64("id"))
+    share = min(1.0, 2 * FIT_ROWS / n)
+    cut = int((1 - 2 * share) * 2.0 ** 63) if share < 1 else -LONG - 1
+    fit = _first(hashed, n, "hash", F.col("hash") >= F.lit(cut), FIT_ROWS)
     sample = _whole([r["v"] for r in fit], scale)
     sample /= np.abs(sample).max(initial=1.0)
     rotation = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]  # right singular vectors, largest first
-    longest = rows.orderBy(F.desc("len"), "id").limit(max(HEAD_ROWS, 4 * k)).select("id", "v").collect()
+    longest = _first(rows, n, "len", F.lit(True), max(HEAD_ROWS, 4 * k))
     top = (np.array([r["id"] for r in longest]), _whole([r["v"] for r in longest], scale))
 
-    def packed(frame: DataFrame, size: int, name: str) -> DataFrame:
-        """Rows by descending length in packed runs of about ``size``, with their extreme lengths."""
+    def packed(frame: DataFrame, rows_: int, size: int) -> DataFrame:
+        """Rows by descending length in packed runs of about ``size``, with their largest length
+        and the number of their partition."""
         def pack(batches):
             held: list[pd.DataFrame] = []
 
             def run(whole: pd.DataFrame):
-                return pd.DataFrame({name: [_pack(whole["id"], _whole(whole["v"], scale))], f"{name}_len": [whole["len"].max()]})
+                return pd.DataFrame({"data": [_pack(whole["id"], _whole(whole["v"], scale))], "len": [whole["len"].max()]})
             for b in batches:
                 held.append(b)
                 whole = pd.concat(held, ignore_index=True)
@@ -199,33 +222,57 @@ def _top_k_of(rows: DataFrame, n: int, is_query: Column, k: int, scale: float, c
                 held = [whole] if len(whole) else []
             if held and sum(map(len, held)):
                 yield run(pd.concat(held, ignore_index=True))
-        parts = max(1, -(-n // size))
+        parts = max(1, -(-rows_ // size))
         dealt = frame.select("id", "v", "len").repartitionByRange(parts, F.desc("len"), "id").sortWithinPartitions(F.desc("len"), "id")
-        return dealt.mapInPandas(pack, f"{name} binary, {name}_len double")
-
-    chunks = packed(rows, chunk_rows, "c").withColumn("chunk", F.monotonically_increasing_id()).checkpoint()
-    # which cells are open is decided on two numbers a chunk
-    lens = [(r["chunk"], r["c_len"]) for r in chunks.select("chunk", "c_len").collect()]
-
-    def open_cells(batches):
+        return dealt.mapInPandas(pack, "data binary, len double").withColumn("place", F.spark_partition_id())
+
+    chunks = packed(rows, n, chunk_rows).checkpoint()
+    # a block goes to every group and a chunk to every band: least bytes for the number of tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(-(-n // chunk_rows), math.ceil(math.sqrt(parts * n / asked))))
+    bands = max(1, min(-(-asked // block_rows), -(-parts // groups)))
+    group = (F.col("place") % groups).alias("group")
+    # whether a group has an open cell is decided on one number a group
+    lens = {r["group"]: r["len"] for r in chunks.groupBy(group).agg(F.max("len").alias("len")).collect()}
+
+    def send(batches):
         for b in batches:
-            for block, q_len in zip(b["q"], b["q_len"]):
+            for block, q_len, place in zip(b["data"], b["len"], b["place"]):
                 ids, q = _unpack(block)
                 limit = search((ids, q), top, rotation, np.full(len(ids), -np.inf), k)[0].threshold()
-                reach = [c for c, c_len in lens if not q_len * c_len * (1 + 1e-9) < limit.min()]
-                for at in range(0, len(reach), 16):
-                    some = reach[at:at + 16]
-                    yield pd.DataFrame({"q": [block] * len(some), "limit": [limit.tolist()] * len(some), "chunk": some})
+                data = pickle.dumps((block, q_len, limit))
+                for g, c_len in lens.items():
+                    if not q_len * c_len * (1 + 1e-9) < limit.min():
+                        yield pd.DataFrame({"part": [place % bands * groups + g], "kind": [0], "place": [place], "len": [q_len], "data": [data]})
 
-    blocks = packed(rows.where(is_query), block_rows, "q")
-    cells = blocks.mapInPandas(open_cells, "q binary, limit array<double>, chunk long")
+    row = "part int, kind int, place int, len double, data binary"
+    blocks = packed(rows.where(is_query), asked, block_rows).mapInPandas(send, row)
+    sent = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), group, "place", "len", "data").select(
+        (F.col("band") * groups + F.col("group")).cast("int").alias("part"), F.lit(1).alias("kind"), "place", "len", "data")
 
     def score(batches):
-        for b in batches:
-            for q, c, limit in zip(b["q"], b["c"], b["limit"]):
-                q = _unpack(q)
-                best, _ = search(q, _unpack(c), rotation, np.asarray(limit, dtype=float), k)
-                at = np.nonzero(best.full)
-                yield pd.DataFrame({"query_id": q[0][at[0]], "vec_id": best.id[at], "score": best.score[at]})
+        now, held = None, []
 
-    return cells.join(chunks.select("chunk", "c"), "chunk").mapInPandas(score, schema)
+        def found():
+            for ids, _, _, _, best in held:
+                at = np.nonzero(best.full)
+                yield pd.DataFrame({"query_id": ids[at[0]], "vec_id": best.id[at], "score": best.score[at]})
+        for b in batches:
+            for part, kind, c_len, data in zip(b["part"], b["kind"], b["len"], b["data"]):
+                if part != now:
+                    yield from found()
+                    now, held = part, []
+                if not kind:
+                    block, q_len, limit = pickle.loads(data)
+                    ids, q = pickle.loads(block)
+                    held.append((ids, q, q_len, limit, Best(len(ids), k)))
+                    continue
+                chunk = _unpack(data) if held else None
+                for ids, q, q_len, limit, best in held:
+                    if not q_len * c_len * (1 + 1e-9) < np.maximum(limit, best.threshold()).min():
+                        search((ids, q.astype(np.float64)), chunk, rotation, limit, k, best)
+        yield from found()
+
+    # dealt by task number: no side is small enough to be sent whole to every task
+    both = blocks.unionByName(sent).repartitionById(groups * bands, "part").sortWithinPartitions("part", "kind", F.desc("len"))
+    return both.mapInPandas(score, schema)
